@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import byte_bpe, packing, token_table
+from atrium.llm import byte_bpe, near_dedup, packing, token_table
 from atrium.llm.common import documents
 
 
@@ -21,5 +21,9 @@ def op7_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.token_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_retrieval_packing": op3_retrieval_packing, "op7_token_table": op7_token_table}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {"op10_near_duplicates": op10_near_duplicates, "op1_byte_bpe": op1_byte_bpe, "op3_retrieval_packing": op3_retrieval_packing, "op7_token_table": op7_token_table}
 ORACLE_SQL: dict[str, str] = {}
