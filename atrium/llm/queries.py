@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import byte_bpe, near_dedup, packing, token_table
+from atrium.llm import byte_bpe, near_dedup, one_bit_search, packing, sharding, token_table
 from atrium.llm.common import documents
 
 
@@ -25,5 +25,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op10_near_duplicates": op10_near_duplicates, "op1_byte_bpe": op1_byte_bpe, "op3_retrieval_packing": op3_retrieval_packing, "op7_token_table": op7_token_table}
+def op2_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_one_bit_search, op3_retrieval_packing, op5_hypergeometric_shards, op7_token_table, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
