@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import byte_bpe, near_dedup, one_bit_search, packing, sharding, token_table
+from atrium.llm import byte_bpe, language_id, media, near_dedup, one_bit_search, packing, sharding, token_table
 from atrium.llm.common import documents
 
 
@@ -33,5 +33,13 @@ def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_one_bit_search, op3_retrieval_packing, op5_hypergeometric_shards, op7_token_table, op10_near_duplicates)}
+def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_one_bit_search, op3_retrieval_packing, op5_hypergeometric_shards, op7_token_table, op8_byte_cnn_language, op9_gif_media, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
