@@ -1,18 +1,27 @@
-"""Encoders over the tokenizers library, with the memory of chunks in front of it."""
+"""Encoders over the tokenizers library, with memories of pieces and chunks in front of it.
+
+A piece that is new goes to the library's model; a text that may be split differently by two Unicode
+versions, or that has white space in a row, goes to the whole library pipeline.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
 from collections.abc import Callable
 
+import regex
+
 from atrium.llm.chunks import Memory, SpacedEncoder
 
 _MADE: dict[str, Callable[[str], bytes]] = {}
 #: White space and characters on which libraries of any Unicode version agree.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
+#: Fixed value: the split of byte-level tokenizers that name no pattern of their own.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def read_tokenizer(path: str) -> bytes:
@@ -20,8 +29,21 @@ def read_tokenizer(path: str) -> bytes:
         return f.read()
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, else the next from U+0100."""
+    printing = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    letters, following = [], 0x100
+    for byte in range(256):
+        if byte in printing:
+            letters.append(chr(byte))
+        else:
+            letters.append(chr(following))
+            following += 1
+    return letters
+
+
 def encoder(json_file: bytes, words: bool) -> Callable[[str], bytes]:
-    """Text -> ids as native 32-bit bytes.  ``words``: the tokenizer drops white space and never joins across it.
+    """Text -> ids as native 32-bit bytes.  ``words``: the tokenizer lower-cases, drops white space and never joins across it.
 
     Strings of special tokens in a text are ordinary text.  One encoder for each process.
     """
@@ -33,19 +55,37 @@ def encoder(json_file: bytes, words: bool) -> Callable[[str], bytes]:
 
     library = Tokenizer.from_str(json_file.decode())
     library.encode_special_tokens = True
+    model, letter = library.model, byte_letters().__getitem__
+    pattern = json.loads(json_file)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if words else BYTE_LEVEL
+    split = regex.compile(pattern)
 
     def whole(text: str) -> bytes:
         return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def piece(text: str) -> bytes:
+        return array("I", [t.id for t in model.tokenize("".join(map(letter, text.encode())))]).tobytes()
+
     if words:
-        memory = Memory(whole, 250_000)
+        pieces = Memory(piece, 130_000)
+
+        def chunk(text: str) -> bytes:
+            low = text.lower()
+            return pieces[low] if low.isalpha() else b"".join(map(pieces.__getitem__, split.findall(low)))
+
+        memory = Memory(chunk, 130_000)
 
         def encode(text: str) -> bytes:
-            if _PLAIN.fullmatch(text):
-                return b"".join(map(memory.__getitem__, text.split()))
-            return whole(text)
+            return b"".join(map(memory.__getitem__, text.split())) if _PLAIN.fullmatch(text) else whole(text)
 
     else:
-        encode = SpacedEncoder(whole, whole)
+
+        def chunk(text: str) -> bytes:
+            if not (text[1:] if text[0] == " " else text).isalpha():
+                parts = split.findall(text)
+                if len(parts) > 1:
+                    return b"".join(encode.spaced[p[1:]] if p[0] == " " and len(p) > 1 else encode.bare[p] for p in parts)
+            return piece(text)
+
+        encode = SpacedEncoder(chunk, whole)
     _MADE[key] = encode
     return encode

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from atrium.llm.common import scratch, short_batches
+from atrium.llm.common import kept, scratch, short_batches
 from atrium.llm.library_tokens import encoder, read_tokenizer
 
 SCHEMA = "part int, doc_id {kind}, local_start long, n_tokens long, ids array<int>"
@@ -82,10 +82,15 @@ def read_tokens(spark: SparkSession, path: str, id_type: T.DataType | str = "lon
     return df.select(*columns) if columns else df
 
 
-def with_starts(tokens: DataFrame) -> DataFrame:
-    """Adds ``start``: the ids of all documents before, from one row for each file (so the joined side is as small as the file list)."""
-    each = tokens.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
+def with_starts(tokens: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
+    """Adds ``start``: the ids of all documents before.
+
+    The files' own offsets are one row for each file; up to ``most_broadcast`` files (a few megabytes) they
+    are broadcast, so the ids stay where they are.
+    """
+    each = kept(tokens.groupBy("part").agg(F.sum("n_tokens").alias("in_part")))
     base = each.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("base"))
+    base = F.broadcast(base) if each.count() <= most_broadcast else base
     return tokens.join(base, "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
