@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import byte_bpe, language_id, media, near_dedup, one_bit_search, packing, sharding, token_table
+from atrium.llm import byte_bpe, language_id, media, near_dedup, one_bit_search, packing, resampling, sharding, token_table
 from atrium.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.token_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,5 +45,5 @@ def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_one_bit_search, op3_retrieval_packing, op5_hypergeometric_shards, op7_token_table, op8_byte_cnn_language, op9_gif_media, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_one_bit_search, op3_retrieval_packing, op5_hypergeometric_shards, op6_importance_resampling, op7_token_table, op8_byte_cnn_language, op9_gif_media, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
