@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import byte_bpe, language_id, media, near_dedup, one_bit_search, packing, resampling, sharding, token_table
+from atrium.llm import byte_bpe, language_id, media, near_dedup, one_bit_search, packing, resampling, secrets, sharding, token_table
 from atrium.llm.common import documents
 
 
@@ -33,6 +33,11 @@ def op2_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_bit_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets.findings(docs, secrets.fit(docs))
+
+
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -45,5 +50,5 @@ def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_one_bit_search, op3_retrieval_packing, op5_hypergeometric_shards, op6_importance_resampling, op7_token_table, op8_byte_cnn_language, op9_gif_media, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_one_bit_search, op3_retrieval_packing, op4_secret_scan, op5_hypergeometric_shards, op6_importance_resampling, op7_token_table, op8_byte_cnn_language, op9_gif_media, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
