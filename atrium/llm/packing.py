@@ -1,13 +1,13 @@
 """Operator 3: packing documents into windows by lexical retrieval.
 
-Documents are dealt into shards of bounded size by the smallest hash of their words, which brings texts
-with common words together; the document id breaks ties, so a group of copies of any size spreads over
-as many shards as it needs.  Each shard has its own BM25 inverted index, with document frequencies and the
-mean length taken from the whole corpus (words are hashed into 65,536 terms, so those statistics have a
-fixed size).  In a shard the next unused document seeds a window; the index returns its unused
-neighbours, best first, and they fill the window.  The document that crosses a window's end is cut there and
-its rest seeds the next one, so only the tail of a shard could need padding, and that is cut into
-powers of two, which need none.
+The terms of a text are its pairs of neighbouring tokens, hashed into 65,536, so they come from the ids that are
+packed and corpus statistics have a fixed size.  Documents are dealt into shards of bounded size by the smallest hash
+of their pairs, which brings texts with common wording together; the document id breaks ties, so a group of
+copies of any size spreads over as many shards as it needs.  Each shard has its own BM25 inverted index, with document
+frequencies and the mean length taken from the whole corpus.  In a shard the next unused document seeds a window; the
+index returns its unused neighbours, best first, and they fill the window.  The document that crosses a
+window's end is cut there and its rest seeds the next one, so only the tail of a shard could need padding, and
+that is cut into powers of two, which need none.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atrium.llm.chunks import Memory
 from atrium.llm.common import kept, short_batches
 from atrium.llm.library_tokens import encoder, read_tokenizer
 
@@ -29,8 +28,12 @@ TERMS = 1 << 16
 K1, B = 1.2, 0.75
 
 
-def _hashes(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace"))
+def pair_hashes(ids: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of each pair of neighbouring ids (of a single id with itself)."""
+    ids = ids.astype("uint64")
+    first, second = (ids[:-1], ids[1:]) if len(ids) > 1 else (ids, ids)
+    x = (first << np.uint64(32) | second) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype("uint32")
 
 
 def encoded(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -41,15 +44,16 @@ def encoded(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_c
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, word_hash = encoder(model.value, False), Memory(_hashes, 200_000)
+        encode = encoder(model.value, False)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, terms, counts, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
-                ids.append(np.frombuffer(encode(text or "") + end, "<u4").astype("<u2").tobytes())
-                words = np.fromiter(map(word_hash.__getitem__, (text or "").lower().split()), "uint32")
-                keys.append(int(words.min()) if len(words) else 0)
-                term, count = np.unique((words >> 16).astype("uint16"), return_counts=True)
+                own = np.frombuffer(encode(text or "") + end, "<u4")
+                ids.append(own.astype("<u2").tobytes())
+                pairs = pair_hashes(own)
+                keys.append(int(pairs.min()))
+                term, count = np.unique((pairs & 0xFFFF).astype("uint16"), return_counts=True)
                 terms.append(term.astype("<u2").tobytes())
                 counts.append(np.minimum(count, 255).astype("uint8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array(keys, pa.int64())], names=["doc_id", "ids", "terms", "counts", "shard_key"])
