@@ -62,17 +62,21 @@ def encoder(json_file: bytes, words: bool) -> Callable[[str], bytes]:
     def whole(text: str) -> bytes:
         return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    tokenize = model.tokenize
+
     def piece(text: str) -> bytes:
-        return array("I", [t.id for t in model.tokenize("".join(map(letter, text.encode())))]).tobytes()
+        if not (text.isascii() and text.isalnum()):  # such letters stand for themselves
+            text = "".join(map(letter, text.encode()))
+        return array("I", [t.id for t in tokenize(text)]).tobytes()
 
     if words:
-        pieces = Memory(piece, 130_000)
+        pieces = Memory(piece, 200_000)
 
         def chunk(text: str) -> bytes:
             low = text.lower()
             return pieces[low] if low.isalpha() else b"".join(map(pieces.__getitem__, split.findall(low)))
 
-        memory = Memory(chunk, 130_000)
+        memory = Memory(chunk, 350_000)
 
         def encode(text: str) -> bytes:
             return b"".join(map(memory.__getitem__, text.split())) if _PLAIN.fullmatch(text) else whole(text)
@@ -86,6 +90,6 @@ def encoder(json_file: bytes, words: bool) -> Callable[[str], bytes]:
                     return b"".join(encode.spaced[p[1:]] if p[0] == " " and len(p) > 1 else encode.bare[p] for p in parts)
             return piece(text)
 
-        encode = SpacedEncoder(chunk, whole)
+        encode = SpacedEncoder(chunk, whole, 400_000)
     _MADE[key] = encode
     return encode

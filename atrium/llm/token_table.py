@@ -34,7 +34,7 @@ LAYOUT = {
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#local_start": "false",
     "parquet.enable.dictionary#n_tokens": "false",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 
