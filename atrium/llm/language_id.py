@@ -70,12 +70,13 @@ class Network:
     def logits(self, windows: np.ndarray) -> np.ndarray:
         return self.pooled(windows) @ self.out + self.out_shift
 
-    def train(self, windows: np.ndarray, truth: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 4) -> None:
+    def train(self, windows: np.ndarray, truth: np.ndarray, epochs: int = 4, least_steps: int = 600, batch: int = 64, rate: float = 0.01, seed: int = 4) -> None:
         """Adam on the softmax loss; only the places of the maxima have a gradient."""
         rng = np.random.default_rng(seed)
         weights = [self.vectors, *self.filters, *self.shifts, self.out, self.out_shift]
         first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
         step, k = 0, len(WIDTHS)
+        epochs = max(epochs, -(-least_steps * batch // len(windows)))
         for _ in range(epochs):
             order = rng.permutation(len(windows))
             for at in range(0, len(order), batch):
