@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Initial consonants in syllable order, the first syllable, and syllables to each initial.
 INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
@@ -19,7 +20,7 @@ def localized(names: Column, name: Column, locale: Column) -> Column:
     return F.coalesce(found(locale), found(F.split_part(locale, F.lit("-"), F.lit(1))), name, F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFKC, but for runs of single Korean letters; for text beyond what ``normalized`` folds itself."""
     import re
