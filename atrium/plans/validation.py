@@ -32,12 +32,12 @@ V17 = f"""select {row('warning', 'disconnected-navigation-node', 'n.node_id')} f
   and n.node_id not in (select from_id from c_nav_edge union all select to_id from c_nav_edge union all select node_id from c_stop union all select from_id from c_site_edge union all select to_id from c_site_edge)"""
 V18 = f"""select {row('warning', 'missing-floor-connection', 'f.floor_id')} from c_floor f where (select count(*) from c_floor g where g.building_id = f.building_id) > 1
   and f.floor_id not in (select floor_id from c_stop where connector_id in (select connector_id from c_stop group by 1 having count(distinct floor_id) > 1))"""
-V25 = f"""select {row('warning', 'duplicate-external-id', 'space_id', 'cast(external_id as varchar)')} from (select space_id, external_id, count(*) over (partition by project_id, external_id) n from c_space join c_floor using (floor_id)) where n > 1"""
+V25 = f"""select {row('warning', 'duplicate-external-id', 'space_id', 'cast(external_id as varchar)')} from (select space_id, external_id, count(*) over (partition by external_id) n from c_space) where n > 1"""
 
 
 def _objects(c: Campus) -> DataFrame:
-    s = c.spaces().join(c.floors().select("plane_id", "project_id"), "plane_id")
-    return s.select("project_id", F.col("space_id").alias("object_id"), F.col("external_id").cast("string").alias("external_id"))
+    # one operator's map: ids are unique over the whole campus
+    return c.spaces().select(F.lit(0).alias("project_id"), F.col("space_id").alias("object_id"), F.col("external_id").cast("string").alias("external_id"))
 
 
 def _links(c: Campus) -> DataFrame:
