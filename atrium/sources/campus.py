@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +41,23 @@ def prelude() -> str:
     return "with " + ", ".join(f"{name} as ({sql})" for name, sql in VIEWS.items()) + " "
 
 
+def needed(name: str) -> tuple[list[str], list[str]]:
+    """The base tables and the views (in order) that a view is built on, itself included."""
+    base: set[str] = set()
+    views = {name}
+    for view in reversed(VIEWS):
+        if view in views:
+            words = set(re.findall(r"\w+", VIEWS[view]))
+            views |= words & VIEWS.keys()
+            base |= words & set(BASE)
+    return sorted(base), [v for v in VIEWS if v in views]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view over the Parquet tables of a folder."""
-    base = ", ".join(f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in BASE)
-    views = ", ".join(f"{n} as ({sql})" for n, sql in VIEWS.items())
-    return spark.sql(f"with {base}, {views} select * from {name}")
+    base, views = needed(name)
+    parts = [f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in base] + [f"{v} as ({VIEWS[v]})" for v in views]
+    return spark.sql(f"with {', '.join(parts)} select * from {name}")
 
 
 class Campus:
@@ -51,9 +65,12 @@ class Campus:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self.views: dict[str, DataFrame] = {}
 
     def view(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        if name not in self.views:
+            self.views[name] = table(self.spark, self.sf_dir, name)
+        return self.views[name]
 
     def floors(self) -> DataFrame:
         f, b = self.view("c_floor"), self.view("c_building").select("building_id", "ox", "oy", "bearing")
