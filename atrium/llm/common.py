@@ -46,3 +46,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spread(df: DataFrame, rows_each: int) -> int:
     """How many partitions hold the rows of ``df`` with about ``rows_each`` in each."""
     return max(1, -(-df.select(F.lit(1)).count() // rows_each))
+
+
+def smallest(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The ``rows`` rows of smallest ``key`` (a hash).  The bar is found on the keys alone, so that only rows under it travel whole."""
+    bar = df.select(key).orderBy(key).limit(rows).agg(F.max(key)).first()[0]
+    return df.filter(F.col(key) <= F.lit(bar)).orderBy(key).limit(rows)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atrium.llm.common import short_batches
+from atrium.llm.common import short_batches, smallest
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -121,7 +121,8 @@ def fit(df: DataFrame, learn_from: Column, sample_rows: int = 3000, windows_each
     size = F.greatest(F.length(text_col) - WINDOW, F.lit(0)) + 1
     cut = F.array(*[F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), size) + 1).cast("int"), F.lit(WINDOW)) for i in range(windows_each)])
     labelled = df.filter(learn_from & F.col(label_col).isNotNull() & (F.length(text_col) > 0))
-    rows = labelled.select(F.col(label_col).alias("label"), cut.alias("cut"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("h")).orderBy("h", "label").limit(sample_rows).collect()
+    marked = labelled.select(F.col(label_col).alias("label"), cut.alias("cut"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("h"))
+    rows = sorted(smallest(marked, "h", sample_rows).collect(), key=lambda r: (r.h, r.label, r.cut))
     if not rows:
         return None
     labels = sorted({r.label for r in rows})
