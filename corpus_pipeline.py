@@ -17,20 +17,29 @@ from atrium.llm.common import documents, kept
 LEAST_LIKELY = 0.5
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """doc_id and text beside a struct of all other columns, so that no name of theirs meets an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("row"), "doc_id", "text")
+
+
+def _back(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return df.select(*[(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts in no learned language."""
     network = language_id.fit(docs, ~language_id.held_out())
     if network is None:  # nothing to learn from: only letters decide
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*[F.col(c) for c in others], F.col("text").alias("text"))
-    done = language_id.predict(rows, network, id_col=others[0], more=[*others[1:], "text"])
-    return done.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LIKELY)).select(*docs.columns)
+    done = language_id.predict(_aside(docs), network, more=["row", "text"])
+    return _back(done.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LIKELY)), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that importance resampling draws."""
-    return resampling.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("_kept").select(*docs.columns)
+    return _back(resampling.resample(_aside(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("_kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts."""
-    return secrets.redacted(docs, secrets.fit(docs))
+    return _back(secrets.redacted(_aside(docs), secrets.fit(docs)), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

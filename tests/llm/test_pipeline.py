@@ -11,10 +11,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages_keep_columns_and_clean_documents(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("component_id", F.lit(7)).withColumn("_kept", F.lit(False))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name in ("component_id", "_kept", "score", "lang_pred", "row", "_found", "_key"):  # names of the operators' own
+        docs = docs.withColumn(name, F.lit(7))
     key = hashlib.sha1(b"secret").hexdigest()
     first = docs.first()
-    extra = [(None, None, "en", "s", 0, 7, False), (90001, "...", "en", "s", 3, 7, False), (90002, first.text, "en", "s", 3, 7, False), (90003, first.text.replace(" ", f' token = "{key}" ', 1), "en", "s", 3, 7, False)]
+    extra = [(None, None, "en", "s", 0, 7, 7, 7, 7, 7, 7, 7), (90001, "...", "en", "s", 3, 7, 7, 7, 7, 7, 7, 7), (90002, first.text, "en", "s", 3, 7, 7, 7, 7, 7, 7, 7), (90003, first.text.replace(" ", f' token = "{key}" ', 1), "en", "s", 3, 7, 7, 7, 7, 7, 7, 7)]
     rows = docs.union(spark.createDataFrame(extra, docs.schema))
     seen = rows
     counts = {}
@@ -27,6 +29,7 @@ def test_stages_keep_columns_and_clean_documents(spark):
     ids = [r.doc_id for r in seen.collect()]
     assert len(ids) == len(set(ids)) and 90002 not in ids
     assert not seen.filter(F.contains("text", F.lit(key))).count()
+    assert {tuple(r) for r in seen.select("component_id", "_kept", "score", "lang_pred", "row", "_found", "_key").distinct().collect()} == {(7,) * 7}
     packed = corpus_pipeline.STAGES[-1][1](spark, seen, SF)
     assert packed.select("doc_id").distinct().count() == len(ids)
 
