@@ -7,11 +7,16 @@ the k largest samples k documents without replacement in proportion to their wei
 
 Counts have a fixed number of buckets, so the models have a fixed size at any scale.  The raw counts cover
 all rows; the target comes from at most ``most_labelled`` labelled rows (those of smallest hash), whose ids are
-broadcast.  ``k`` may be given; else it is the number of documents whose key reaches what all but ``loss`` of the labelled
-good ones reach; one half of those makes the target, the other half sets that bar.  The noise is a hash of id and text, so a rerun draws the same.
+broadcast.  ``k`` may be given; else it is the number of documents whose key reaches a bar.  One half of the labelled good
+rows makes the target; the other half, and as many labelled bad ones (quality 0) at most, set the bar where the fewest
+labels are decided wrongly.  Toxic rows are in neither half.  The noise is a hash of id and text, so a rerun draws the same.
 
-Defined cases: text that is null or has no word has no weight and is rejected; without labelled rows all texts
-with words are kept; rows with equal ids and texts share their fate.
+The mean over n-grams sees what a text is made of, not a few words in it: a toxic text that is good otherwise (about
+five insult words) has nearly the weight of a clean one and is kept.
+
+Defined cases: text that is null or has no word has no weight and is rejected; without labelled good rows all texts
+with words are kept; without labelled bad rows the bar is what all but ``loss`` of the held-out good ones reach; an id
+that is labelled twice is good only if it is never bad; rows with equal ids and texts share their fate.
 """
 
 from __future__ import annotations
@@ -121,26 +126,50 @@ def kth_largest(keys: DataFrame, k: int, column: str = "_key", few: int = 4096)
         low, high = a, b
 
 
+def best_bar(good: np.ndarray, bad: np.ndarray, weight: float = 1.0) -> float:
+    """The bar that decides the fewest held-out labels wrongly, where a bad one counts as ``weight`` good ones; the lowest one if several do.
+
+    It lies midway between the last key that it rejects and the first that it keeps, which is a good one.
+    """
+    good, bad = np.sort(good), np.sort(bad)
+    wrong = np.arange(len(good)) + weight * (len(bad) - np.searchsorted(bad, good))
+    first = good[np.argmin(wrong)]
+    below = np.concatenate([good[good < first], bad[bad < first]])
+    return float((first + below.max()) / 2 if len(below) else first)
+
+
 def resample(df: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 20_000, loss: float = 0.002, seed: int = 0) -> DataFrame:
     """All columns of ``df`` with _n_grams, _log_ratio, _key and _kept.
 
     ``labels``: doc_id, quality (0 or 1), toxic (0 or 1).  The target is quality 1 without toxic ones.
     """
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-    sample = kept(good.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id", F.lit(seed))).limit(most_labelled))
+    known = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
+    good, bad = known.filter("quality = 1 and toxic = 0").select("id"), known.filter("quality = 0").select("id")
+    part = lambda ids: ids.orderBy(F.xxhash64("id", F.lit(seed))).limit(most_labelled)
     tested = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)) == 1
-    target = sample.filter(~tested & (F.coalesce("toxic", F.lit(0)) == 0)).select("id")
+    sample = kept(part(good).withColumn("good", F.lit(True)).union(part(bad).withColumn("good", F.lit(False))))
+    target = sample.filter(~tested & F.col("good")).select("id")
     rows = df.select(F.col(id_col).alias("_id"), text_col)
     ratio = models(rows, target, text_col)
     if not ratio.any():
         return keyed(df, ratio, id_col, text_col, seed).withColumn("_kept", F.col("_key").isNotNull())
     if k is None:
-        known = df.select(id_col, text_col).join(F.broadcast(sample.filter(tested).select("id")), F.col(id_col) == F.col("id")).select(id_col, text_col)
-        marks = keyed(known, ratio, id_col, text_col, seed).select("_key")
-        bar = marks.agg(F.expr(f"percentile(_key, {loss})")).first()[0]
+        asked = sample.filter(tested | ~F.col("good"))
+        held = rows.join(F.broadcast(asked), F.col("_id") == F.col("id")).select("_id", text_col, "good")
+        marks = keyed(held, ratio, "_id", text_col, seed).filter("_key is not null")
+        marks = marks.groupBy("_id", "good").agg(F.min("_key").alias("key")).select("good", "key").toPandas()  # one row for each sampled id
+        keys = {g: marks.loc[marks["good"] == g, "key"].to_numpy("float64") for g in (True, False)}
+        if not len(keys[True]):
+            bar = None
+        elif not len(keys[False]):
+            bar = float(np.quantile(keys[True], loss))
+        else:  # each sampled label stands for as many of its kind
+            all_of = {r.quality: r.n for r in known.filter("quality = 0 or toxic = 0").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+            asked_of = {r.good: r.n for r in asked.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
+            bar = best_bar(keys[True], keys[False], all_of[0] / asked_of[False] / (all_of[1] / asked_of[True]))
     else:
         bar = kth_largest(kept(keyed(df.select(id_col, text_col), ratio, id_col, text_col, seed).select("_key")), k)
-    above = F.col("_key") >= F.lit(bar) if bar is not None else F.lit(k is None)
+    above = F.col("_key") >= F.lit(bar) if bar is not None else F.col("_key").isNotNull() & F.lit(k is None)
     return keyed(df, ratio, id_col, text_col, seed).withColumn("_kept", F.coalesce(above, F.lit(False)))
 
 

@@ -198,6 +198,25 @@ def test_op6_keeps_good_and_drops_junk(spark):
     assert resampling.resample(df.limit(0), labels).count() == 0
 
 
+def test_op6_bar_from_good_and_bad_labels(spark):
+    assert resampling.best_bar(np.array([4.0, 1.0, 5.0, 6.0]), np.array([0.0, 2.0, 3.0])) == 3.5
+    assert resampling.best_bar(np.array([1.0, 4.0]), np.array([2.0]), 0.5) == 1.0
+    good, junk = [prose(i, 40) for i in range(150)], [" ".join(random.Random(i).choice(["###", "$$$", "!!!"]) for _ in range(40)) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate([*good, *junk])), "doc_id long, text string")
+    # toxic rows that look like junk, and one good label on junk, say nothing about where good texts begin
+    rows = [(i, 1, 0) for i in range(0, 150, 2)] + [(i, 1, 1) for i in range(150, 170)] + [(i, 0, 0) for i in range(170, 190)] + [(209, 1, 0)]
+    done = {r.doc_id: r._kept for r in resampling.resample(df, spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()}
+    assert sum(done[i] for i in range(150)) >= 147 and not any(done[i] for i in range(150, 209))
+
+
+def test_op6_drops_labelled_bad_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    done = resampling.resample(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id")
+    share = {r.quality: r.share for r in done.groupBy("quality").agg(F.avg(F.col("_kept").cast("int")).alias("share")).collect()}
+    assert share[1] >= 0.97 and share[0] <= 0.2
+
+
 def test_op6_kth_largest(spark):
     df = spark.range(5000).select((F.pmod(F.col("id") * 7919, F.lit(5003)) / 3.0).alias("_key"))
     values = sorted((r[0] for r in df.collect()), reverse=True)
