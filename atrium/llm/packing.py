@@ -5,7 +5,7 @@ packed and corpus statistics have a fixed size.  Documents are dealt into shards
 of their pairs, which brings texts with common wording together; the document id breaks ties, so a group of
 copies of any size spreads over as many shards as it needs.  Each shard has its own BM25 inverted index, with document
 frequencies and the mean length taken from the whole corpus.  In a shard the next unused document seeds a window; the
-index returns its unused neighbours, best first, and they fill the window.  The document that crosses a
+index is asked with all its terms and returns its unused neighbours, best first, and they fill the window.  The document that crosses a
 window's end is cut there and its rest seeds the next one, so only the tail of a shard could need padding, and
 that is cut into powers of two, which need none.
 """
@@ -26,6 +26,10 @@ from atrium.llm.library_tokens import encoder, read_tokenizer
 
 TERMS = 1 << 16
 K1, B = 1.2, 0.75
+#: In ``all_scores``, terms in more documents of a shard than this go through matrix products.
+COMMON = 128
+#: A shard of more documents (many rows of one text without an id) scores one seed at a time, which takes less memory and gives the same.
+MOST_AT_ONCE = 8192
 
 
 def pair_hashes(ids: np.ndarray) -> np.ndarray:
@@ -78,30 +82,60 @@ def document_frequencies(table: DataFrame) -> tuple[np.ndarray, int, float]:
     return found, n, float(mean or 1.0)
 
 
-def filling_order(terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, idf: np.ndarray, mean: float, window: int, query_terms: int) -> list[int]:
-    """The order in which one shard's documents follow each other."""
+def all_scores(posting_doc: np.ndarray, posting_weight: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """``scores[seed, other]``: the weights in ``other`` of all terms that both have.
+
+    Terms in few documents add each pair of theirs; the others go through matrix products, a block of terms at a time.
+    """
+    size = np.diff(begin)
+    scores = np.zeros(n * n, "float32")
+    for k in range(2, COMMON + 1):
+        of_size = begin[:-1][size == k]
+        for at in range(0, len(of_size), step := max(1, (1 << 21) // (k * k))):
+            which = of_size[at : at + step, None] + np.arange(k)
+            docs = posting_doc[which]
+            pair = (docs[:, :, None] * n + docs[:, None, :]).ravel()
+            weight = np.broadcast_to(posting_weight[which][:, None, :], (len(which), k, k)).ravel()
+            np.add.at(scores, pair, weight)
+    scores = scores.reshape(n, n)
+    common = np.flatnonzero(size > COMMON)
+    for at in range(0, len(common), 1024):
+        some = common[at : at + 1024]
+        spot = np.concatenate([np.arange(begin[t], begin[t + 1]) for t in some])
+        column = np.repeat(np.arange(len(some)), size[some])
+        weights, has = np.zeros((n, len(some)), "float32"), np.zeros((n, len(some)), "float32")
+        weights[posting_doc[spot], column], has[posting_doc[spot], column] = posting_weight[spot], 1
+        scores += has @ weights.T
+    return scores
+
+
+def filling_order(terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, idf: np.ndarray, mean: float, window: int, query_terms: int | None = None) -> list[int]:
+    """The order in which one shard's documents follow each other.  A seed asks with all its terms (with the ``query_terms`` rarest if that is given)."""
     n = len(lengths)
     size = np.array([len(t) for t in terms])
     term, doc = np.concatenate(terms).astype("int64"), np.repeat(np.arange(n), size)
     tf = np.concatenate(counts).astype("float64")
     weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
     by_term = np.argsort(term, kind="stable")
-    posting_doc, posting_weight = doc[by_term], weight[by_term]
+    posting_doc, posting_weight = doc[by_term], weight[by_term].astype("float32")
     begin = np.searchsorted(term[by_term], np.arange(TERMS + 1))
+    scores = all_scores(posting_doc, posting_weight, begin, n) if query_terms is None and n <= MOST_AT_ONCE else None
     free = np.ones(n, bool)
     order: list[int] = []
     at, cursor = 0, 0
 
     def neighbours(seed: int) -> Iterator[int]:
-        own = terms[seed]
-        if len(own) > query_terms:
-            own = own[np.argpartition(-idf[own], query_terms)[:query_terms]]
-        spans = [slice(begin[t], begin[t + 1]) for t in own if begin[t + 1] - begin[t] > 1]
-        if not spans:
-            return
-        score = np.bincount(np.concatenate([posting_doc[s] for s in spans]), np.concatenate([posting_weight[s] for s in spans]), n)
-        score[~free] = 0
-        found = np.flatnonzero(score)
+        if scores is not None:
+            score = scores[seed]
+        else:
+            own = terms[seed].astype("int64")
+            if query_terms is not None and len(own) > query_terms:
+                own = own[np.argpartition(-idf[own], query_terms)[:query_terms]]
+            spans = [slice(begin[t], begin[t + 1]) for t in own if begin[t + 1] - begin[t] > 1]
+            if not spans:
+                return
+            score = np.bincount(np.concatenate([posting_doc[s] for s in spans]), np.concatenate([posting_weight[s] for s in spans]), n)
+        found = np.flatnonzero(free & (score > 0))
         yield from found[np.lexsort((found, -score[found]))].tolist()
 
     while len(order) < n:
@@ -143,7 +177,7 @@ def cuts(total: int, window: int) -> np.ndarray:
     return np.array(at, "int64")
 
 
-def pack(df: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 2048, query_terms: int = 32, digests: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 2048, query_terms: int | None = None, digests: bool = False) -> DataFrame:
     """Packs every document (null text: empty) with ``end_id`` after it.
 
     Returns one row per piece: doc_id, start, length, ids (array of int; with ``digests`` its CRC-32

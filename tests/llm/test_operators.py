@@ -144,6 +144,28 @@ def test_op3_neighbours_follow_their_seed():
     assert order == [0, 2, 1, 3]
 
 
+@pytest.mark.parametrize("most", [packing.MOST_AT_ONCE, 10])
+def test_op3_asks_with_all_terms(monkeypatch, most):
+    monkeypatch.setattr(packing, "MOST_AT_ONCE", most)
+    monkeypatch.setattr(packing, "COMMON", 8)
+    rng = np.random.default_rng(2)
+    # 40 rare terms of the seed are in document 1, 200 common ones (and the last term of all) in document 2
+    rare, common = np.arange(100, 140), np.r_[np.arange(1000, 1200), packing.TERMS - 1]
+    terms = [np.r_[rare, common], np.r_[rare, 5000:5161], common, *[np.sort(rng.choice(common, 60, False)) for _ in range(37)]]
+    terms = [t.astype("uint16") for t in terms]
+    counts, idf = [rng.integers(1, 5, len(t)).astype("uint8") for t in terms], np.ones(packing.TERMS)
+    idf[rare], lengths = 1.5, np.full(40, 10)
+    tf = [dict(zip(t.tolist(), c.tolist(), strict=True)) for t, c in zip(terms, counts, strict=True)]
+    score = lambda i: sum(idf[t] * c * 2.2 / (c + 1.2) for t, c in tf[i].items() if t in tf[0])
+    want = [0, *sorted(range(1, 40), key=lambda i: -score(i))]
+    assert packing.filling_order(terms, counts, lengths, idf, 10.0, 1000)[:2] == want[:2] == [0, 2]
+    by_term = np.argsort(np.concatenate(terms), kind="stable")
+    doc, term = np.repeat(np.arange(40), [len(t) for t in terms])[by_term], np.concatenate(terms)[by_term]
+    weight = np.array([idf[t] * tf[d][t] * 2.2 / (tf[d][t] + 1.2) for d, t in zip(doc.tolist(), term.tolist(), strict=True)])
+    got = packing.all_scores(doc, weight.astype("float32"), np.searchsorted(term, np.arange(packing.TERMS + 1)), 40)
+    assert np.allclose(got[0, 1:], [score(i) for i in range(1, 40)], rtol=1e-5)
+
+
 def test_op4_findings_and_marks(spark):
     key = hashlib.sha1(b"k").hexdigest()
     texts = [prose(i, 50) for i in range(30)]
