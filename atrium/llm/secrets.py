@@ -6,9 +6,9 @@ of it a dictionary covers, marks of a path, and the words and signs beside it.
 findings; its trees become nested CASE expressions over the array of candidates, so that scanning is one map over
 the rows: no shuffle, no explode, and one text is the largest thing that a task holds.
 
-The labelled findings are made, by rule, around words of a bounded sample of texts: generated keys in assignments
-against digests of commits, checksums, paths, addresses, glued words, rules of signs and placeholders.  Dictionary and
-character pairs come from the same sample (a slice of each of the ``sample_rows`` texts of smallest hash).
+Dictionary and character pairs are counted over all words of all texts.  The labelled findings are made, by rule, around
+words of a bounded sample (a slice of each of the ``sample_rows`` distinct texts of smallest hash): generated keys in assignments
+against digests of commits, checksums, paths, addresses, glued words, rules of signs and placeholders.
 
 Defined cases: null and empty texts have no candidates; candidates are scanned wherever they stand, any number in a text;
 equal texts get equal findings.
@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atrium.llm.common import kept, smallest
+from atrium.llm.common import kept
 
 CANDIDATE = r"[A-Za-z0-9_+/=.\-]{20,}"
 #: Words that stand beside secrets, and beside other long tokens.
@@ -159,13 +159,20 @@ def labelled_findings(sample: DataFrame) -> DataFrame:
     return base.select(F.explode(F.array(*rows)).alias("f")).select("f.*")
 
 
-def fit(df: DataFrame, text_col: str = "text", sample_rows: int = 400, dictionary_words: int = 2000, trees: int = 20, depth: int = 6, seed: int = 7) -> Forest | None:
-    """Trains the forest; None if no text has a word."""
+def sampled(df: DataFrame, text_col: str, rows: int, seed: int) -> DataFrame:
+    """n, text: a slice of each of the ``rows`` distinct texts of smallest hash."""
     text, size = F.col(text_col), F.greatest(F.length(text_col) - SLICE, F.lit(0)) + 1
     part = F.substring(text, (F.pmod(F.xxhash64(text, F.lit(seed)), size) + 1).cast("int"), F.lit(SLICE))
-    chosen = df.filter(text.isNotNull()).select(F.xxhash64(text).alias("n"), part.alias("text"))
-    sample = kept(smallest(chosen, "n", sample_rows))
-    words = sample.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter("length(word) > 1").groupBy("word").count()
+    some = df.filter(text.isNotNull())
+    bar = some.select(F.xxhash64(text).alias("n")).distinct().orderBy("n").limit(rows).agg(F.max("n")).first()[0]
+    return kept(some.filter(F.xxhash64(text) <= F.lit(bar)).select(F.xxhash64(text).alias("n"), part.alias("text")).groupBy("n").agg(F.min("text").alias("text")))
+
+
+def fit(df: DataFrame, text_col: str = "text", sample_rows: int = 400, dictionary_words: int = 2000, trees: int = 20, depth: int = 6, seed: int = 7) -> Forest | None:
+    """Trains the forest; None if no text has a word."""
+    sample = sampled(df, text_col, sample_rows, seed).coalesce(1).sortWithinPartitions("n")
+    words = df.select(F.explode(F.split(F.lower(text_col), "[^a-z]+")).alias("word")).filter("length(word) > 1")
+    words = kept(words.groupBy("word").count())
     known = [r.word for r in words.orderBy(F.desc("count"), "word").limit(dictionary_words).collect()]
     if not known:
         return None

@@ -182,6 +182,16 @@ def test_op4_findings_and_marks(spark):
     assert secrets.fit(df.limit(0)) is None and secrets.findings(df.limit(0), None).count() == 0
 
 
+def test_op4_learns_words_of_all_texts(spark):
+    rows = [(i, f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}word common words") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = df.orderBy(F.xxhash64("text")).first().text
+    copies = df.union(spark.createDataFrame([(900 + i, first) for i in range(20)], df.schema))
+    assert secrets.sampled(copies, "text", 5, 7).select("n").distinct().count() == 5
+    forest = secrets.fit(copies, sample_rows=5)
+    assert all(f" {t.split()[0]} " in forest.words for _, t in rows)
+
+
 def test_op4_forest_reads_as_the_model_votes(spark):
     printed = "M\n  Tree 0 (weight 1.0):\n    If (feature 0 <= 2.5)\n     Predict: 0.0\n    Else (feature 0 > 2.5)\n     If (feature 1 <= 0.1)\n      Predict: 1.0\n     Else (feature 1 > 0.1)\n      Predict: 0.0\n  Tree 1 (weight 1.0):\n    Predict: 1.0\n"
     trees = secrets.read_forest(printed)
