@@ -351,7 +351,7 @@ def brute_groups(rows, percent=75):
     return {i: find(i) for i in sets}, {i: len(s) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("small", "few", "levels"), [(100, 1000, 6), (4, 3, 3), (4, 1000, 2)])
+@pytest.mark.parametrize(("small", "few", "levels"), [(256, 1 << 22, 6), (4, 3, 3), (4, 1000, 2)])
 def test_op10_against_brute_force(spark, small, few, levels):
     rows = [(r[0], r[1]) for r in ROWS if r[0] is not None]
     base = prose(77, 120).split()
