@@ -351,8 +351,10 @@ def brute_groups(rows, percent=75):
     return {i: find(i) for i in sets}, {i: len(s) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("small", "few", "levels"), [(256, 1 << 22, 6), (4, 3, 3), (4, 1000, 2)])
-def test_op10_against_brute_force(spark, small, few, levels):
+@pytest.mark.parametrize(("block", "few", "levels"), [(2048, 1 << 22, 6), (7, 3, 2)])
+def test_op10_against_brute_force(spark, monkeypatch, block, few, levels):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "HOT", block)
     rows = [(r[0], r[1]) for r in ROWS if r[0] is not None]
     base = prose(77, 120).split()
     for k in range(60):  # copies edited ever further from their source, so that some link only through others
@@ -364,7 +366,7 @@ def test_op10_against_brute_force(spark, small, few, levels):
     rows += [(300 + k, prose(300 + k, 30)) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit(0))
     groups, sizes = brute_groups(rows)
-    got = near_dedup.near_duplicates(df, small=small, few=few, levels=levels).collect()
+    got = near_dedup.near_duplicates(df, few=few, levels=levels).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.component_id == groups[r.doc_id] and r.n_shingles == sizes[r.doc_id] and r.kept == (r.doc_id == r.component_id)
