@@ -8,47 +8,114 @@ transducer has a thread for each (last token, place in the token trie); a thread
 if it is stable after its last one, and after each byte exactly one thread has just ended a token.
 
 The deterministic machine is the subset construction: a state is the set of live threads, and a move
-by one byte gives the next state and the token that has just ended.  Each position has one such token, so
-walking back by token lengths from any later position gives the only encoding; where the oldest live thread
-begins, all threads agree on what lies before, and those tokens can leave.  A token thus leaves after a
-lookahead of at most the longest token.  States and moves are made when a text first needs them, and are
-dropped together when there are too many.
+by one byte gives the next state and the token that has just ended.  Each position has one such token, so every
+thread has one way back to the start; up to the last position that all their ways share, the encoding is certain, and
+those tokens leave.  ``Stream`` emits them after each piece of bytes that it is fed and keeps only what is still open.
+States and moves are made when a text first needs them, and are dropped together when there are too many.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from atrium.llm.utf8 import TokenStream
+
+
+class _State(dict):
+    """byte -> (token that ends with it, next state)."""
+
+    __slots__ = ("machine", "threads")
+
+    def __init__(self, machine: Transducer, threads: tuple[int, ...]) -> None:
+        super().__init__()
+        self.machine, self.threads = machine, threads
+
+    def __missing__(self, byte: int) -> tuple[int, _State]:
+        made = self[byte] = self.machine._move(self.threads, byte)
+        return made
+
+
+class Stream:
+    """Bytes arrive in pieces of any size, ids leave as soon as all live threads agree on them."""
+
+    def __init__(self, machine: Transducer) -> None:
+        self.machine = machine
+        self.state = machine.start
+        #: The token that ends at each position after what has left.
+        self.ended: list[int] = []
+
+    def _back(self, to: int) -> list[int]:
+        """The tokens from the last emission up to position ``to``."""
+        ids, size, ended = [], self.machine.size_of, self.ended
+        while to:
+            token = ended[to - 1]
+            ids.append(token)
+            to -= size[token]
+        ids.reverse()
+        return ids
+
+    def feed(self, piece: bytes) -> list[int]:
+        state, put = self.state, self.ended.append
+        for byte in piece:
+            token, state = state[byte]
+            put(token)
+        self.state = state
+        machine, ended = self.machine, self.ended
+        starts = {len(ended) - machine.depth[thread & 0xFFFFFFFF] for thread in state.threads}
+        while len(starts) > 1:
+            last = max(starts)
+            starts.remove(last)
+            starts.add(last - machine.size_of[ended[last - 1]])
+        (certain,) = starts
+        ids = self._back(certain)
+        del ended[:certain]
+        if machine.made > machine.most_moves:
+            machine.reset()
+            self.state = machine.state(state.threads)
+        return ids
+
+    def close(self) -> list[int]:
+        ids = self._back(len(self.ended))
+        self.state, self.ended = self.machine.start, []
+        return ids
 
-from atrium.llm.utf8 import Utf8Stream
 
 class Transducer:
     """``ranks``: token bytes -> rank, which is also the id.  ``most_moves`` bounds what is kept."""
 
-    def __init__(self, ranks: dict[bytes, int], most_moves: int = 200_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most_moves: int = 300_000) -> None:
         self.ranks = ranks
         self.most_moves = most_moves
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.size_of = {i: len(b) for b, i in ranks.items()}
-        self.child: dict[int, int] = {}
-        self.ends: list[int] = [-1]
+        #: The token trie: the children of each node (none: a thread ends there), the token that ends there, and the depth.
+        self.child: list[dict[int, int]] = [{}]
+        self.ends, self.depth = [-1], [0]
         for token, i in ranks.items():
             node = 0
             for byte in token:
-                node = self.child.setdefault(node << 8 | byte, len(self.ends))
-                if node == len(self.ends):
+                after = self.child[node].get(byte)
+                if after is None:
+                    after = self.child[node][byte] = len(self.ends)
+                    self.child.append({})
                     self.ends.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                node = after
             self.ends[node] = i
-        #: Nodes with something beyond them; a thread at any other ends there.
-        self.inner = {key >> 8 for key in self.child}
+        self.text = TokenStream(self.bytes_of)
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.pair_ok: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        """A thread is (last token + 1) << 32 | trie node; a move is next state << 32 | ended token."""
-        self.states: list[tuple[int, ...]] = [(0,)]
-        self.state_id: dict[tuple[int, ...], int] = {(0,): 0}
-        self.moves: dict[int, int] = {}
+        """Forgets all states and moves.  A thread is (last token + 1) << 32 | trie node."""
+        self.known: dict[tuple[int, ...], _State] = {}
+        self.made = 0
+        self.start = self.state((0,))
+
+    def state(self, threads: tuple[int, ...]) -> _State:
+        found = self.known.get(threads)
+        if found is None:
+            found = self.known[threads] = _State(self, threads)
+        return found
 
     def merged(self, data: bytes, to: int = 1) -> list[bytes]:
         """The plain rule: merge the pair of lowest rank, leftmost first, until none or ``to`` parts are left."""
@@ -102,66 +169,55 @@ class Transducer:
                 lowest, b = b + 1, right[0]
 
     def _stable(self, last: int, token: int) -> bool:
-        key = last << 32 | token
-        known = self.pair_ok.get(key)
-        if known is None:
-            if self._split(token) is None:
-                known = False
-            elif last < 0:
-                known = True
-            else:
-                known = self._undone(last, token)
-            if len(self.pair_ok) > 3 * self.most_moves:
-                self.pair_ok.clear()
-            self.pair_ok[key] = known
+        if self._split(token) is None:
+            known = False
+        else:
+            known = last < 0 or self._undone(last, token)
+        if len(self.pair_ok) > 3 * self.most_moves:
+            self.pair_ok.clear()
+        self.pair_ok[last << 32 | token] = known
         return known
 
-    def _move(self, state: int, byte: int) -> int:
+    def _move(self, live: tuple[int, ...], byte: int) -> tuple[int, _State]:
         threads: list[int] = []
         ended = -1
-        for thread in self.states[state]:
-            child = self.child.get((thread & 0xFFFFFFFF) << 8 | byte)
+        children, ends, pair_ok = self.child, self.ends, self.pair_ok.get
+        for thread in live:
+            child = children[thread & 0xFFFFFFFF].get(byte)
             if child is None:
                 continue
-            last = (thread >> 32) - 1
-            token = self.ends[child]
-            if token >= 0 and ended < 0 and self._stable(last, token):
-                ended = token
-            if child in self.inner:
-                threads.append(last + 1 << 32 | child)
+            token = ends[child]
+            if token >= 0 and ended < 0:
+                last = (thread >> 32) - 1
+                ok = pair_ok(last << 32 | token)
+                if self._stable(last, token) if ok is None else ok:
+                    ended = token
+            if children[child]:
+                threads.append(thread & ~0xFFFFFFFF | child)
         if ended < 0:
             raise ValueError("the vocabulary has no token for a byte")
         threads.append(ended + 1 << 32)
-        key = tuple(threads)
-        target = self.state_id.get(key)
-        if target is None:
-            target = self.state_id[key] = len(self.states)
-            self.states.append(key)
-        self.moves[state << 8 | byte] = made = target << 32 | ended
-        return made
+        self.made += 1
+        return ended, self.state(tuple(threads))
 
-    def encode(self, piece: bytes) -> list[int]:
-        """The ids of one pre-split piece."""
+    def encode(self, piece: bytes, at_once: int = 4096) -> list[int]:
+        """The ids of one pre-split piece.  A long one is fed in parts, so that only what is open is held."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.moves) > self.most_moves:
+        if len(piece) > at_once:
+            stream, ids = Stream(self), []
+            for i in range(0, len(piece), at_once):
+                ids += stream.feed(piece[i : i + at_once])
+            return ids + stream.close()
+        if self.made > self.most_moves:
             self.reset()
-        ended: list[int] = []
-        state, get = 0, self.moves.get
+        ended, state = [], self.start
+        put = ended.append
         for byte in piece:
-            move = get(state << 8 | byte)
-            if move is None:
-                move = self._move(state, byte)
-                if len(self.moves) > 2 * self.most_moves:  # within one very long piece
-                    threads = self.states[move >> 32]
-                    self.reset()
-                    get = self.moves.get
-                    move = self.state_id.setdefault(threads, 1) << 32 | move & 0xFFFFFFFF
-                    self.states.append(threads)
-            ended.append(move & 0xFFFFFFFF)
-            state = move >> 32
-        ids: list[int] = []
+            token, state = state[byte]
+            put(token)
+        ids = []
         at, size = len(ended), self.size_of
         while at:
             token = ended[at - 1]
@@ -170,14 +226,6 @@ class Transducer:
         ids.reverse()
         return ids
 
-    def decode(self, ids: Iterable[int], at_once: int = 8192) -> tuple[bytes, str]:
-        """The bytes of ``ids`` and their text, streamed through the UTF-8 state machine."""
-        vocabulary, stream = self.bytes_of, Utf8Stream()
-        ids = list(ids)
-        data, text = [], []
-        for i in range(0, len(ids), at_once):
-            piece = b"".join(map(vocabulary.__getitem__, ids[i : i + at_once]))
-            data.append(piece)
-            text.append(stream.feed(piece))
-        text.append(stream.close())
-        return b"".join(data), "".join(text)
+    def decode(self, ids: list[int]) -> str:
+        """The text of ``ids``, by the UTF-8 state machine over tokens."""
+        return self.text.decode(ids)

@@ -1,6 +1,8 @@
 """Operator 1: byte-level BPE encoding and decoding of a text column.
 
-Null text counts as empty.  Every row of the input gives one row; nothing is shuffled.
+Null text counts as empty and gives no tokens.  Every row of the input gives one row, repeated rows too; an empty table gives none;
+nothing is shuffled.  A text may have any length: a task holds one text and its ids, and pieces of megabytes go through the
+transducer in parts.  Only the id column and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atrium.llm.bpe_transducer import Transducer
 from atrium.llm.chunks import SpacedEncoder
@@ -63,11 +67,11 @@ def encode_column(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
             counts, first, second = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = np.frombuffer(encode(text or ""), "<u4").tolist()
-                data, decoded = machine.decode(ids)
+                decoded = machine.decode(ids)
                 counts.append(len(ids))
                 if digests:
                     first.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
-                    second.append(hashlib.sha256(data).hexdigest())
+                    second.append(hashlib.sha256(decoded.encode()).hexdigest())
                 else:
                     first.append(ids)
                     second.append(decoded)
@@ -75,6 +79,6 @@ def encode_column(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], names=names)
 
     names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-    kind = df.schema[id_col].dataType.simpleString()
-    last = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, {last}")
+    kinds = [df.schema[id_col].dataType, T.LongType(), T.StringType() if digests else T.ArrayType(T.IntegerType()), T.StringType()]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in zip(names, kinds, strict=True)])
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from atrium.llm import byte_bpe, gif, language_id, media, near_dedup, one_bit_search, packing, resampling, secrets, sharding, token_table
-from atrium.llm.bpe_transducer import Transducer
+from atrium.llm.bpe_transducer import Stream, Transducer
 from atrium.llm.library_tokens import encoder, read_tokenizer
 from atrium.llm.utf8 import Utf8Stream
 
@@ -67,6 +67,38 @@ def test_transducer_small_moves_and_long_piece():
         assert machine.encode(piece.encode()) == library.encode_ordinary(piece)
 
 
+def test_transducer_emits_with_bounded_lookahead():
+    ranks = byte_bpe.read_ranks(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    machine, rng = Transducer(ranks, most_moves=500), random.Random(5)
+    longest = max(map(len, ranks))
+    for _ in range(40):
+        data = "".join(rng.choice(["the", "and", "ion", "an", "e", "r", "ß", "s", "7", "-"]) for _ in range(300)).encode()
+        stream, ids, sizes = Stream(machine), [], 0
+        for i in range(len(data)):
+            out = stream.feed(data[i : i + 1])
+            ids += out
+            sizes += sum(machine.size_of[t] for t in out)
+            assert i + 1 - sizes <= longest and len(stream.ended) <= longest
+        assert ids + stream.close() == library.encode_ordinary(data.decode()) == machine.encode(data, at_once=64)
+
+
+def test_op1_megabytes_in_one_piece():
+    ranks = byte_bpe.read_ranks(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    machine, rng = Transducer(ranks), random.Random(6)
+    text = "".join(rng.choice("abcdeinrst") for _ in range(1 << 20))
+    ids = machine.encode(text.encode())
+    assert machine.decode(ids) == text and len(ids) < len(text) // 2
+
+
+def test_op1_decodes_cut_characters():
+    ranks = byte_bpe.read_ranks(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    machine = Transducer(ranks)
+    data = "aé日😀 ".encode() + b"\xff\xc3(\xf0\x9f\x98" + "ß".encode() + b"\xe2\x82"
+    ids = [ranks[data[i : i + 1]] for i in range(len(data))]  # a token for each byte: every state is met
+    assert machine.decode(ids) == machine.text.decode(ids, 3) == data.decode("utf-8", "replace")
+
+
 def test_op1_matches_the_library(docs, empty):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
