@@ -62,10 +62,13 @@ def encoder(json_file: bytes, words: bool) -> Callable[[str], bytes]:
     def whole(text: str) -> bytes:
         return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    tokenize = model.tokenize
+    tokenize, space = model.tokenize, letter(0x20)
 
     def piece(text: str) -> bytes:
-        if not (text.isascii() and text.isalnum()):  # such letters stand for themselves
+        body = text[1:] if text[0] == " " else text
+        if body.isascii() and body.isalnum():  # such letters stand for themselves
+            text = text if body is text else space + body
+        else:
             text = "".join(map(letter, text.encode()))
         return array("I", [t.id for t in tokenize(text)]).tobytes()
 

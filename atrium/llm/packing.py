@@ -1,17 +1,22 @@
 """Operator 3: packing documents into windows by lexical retrieval.
 
-The terms of a text are its pairs of neighbouring tokens, hashed into 65,536, so they come from the ids that are
-packed and corpus statistics have a fixed size.  Documents are dealt into shards of bounded size by the smallest hash
-of their pairs, which brings texts with common wording together; the document id breaks ties, so a group of
-copies of any size spreads over as many shards as it needs.  Each shard has its own BM25 inverted index, with document
-frequencies and the mean length taken from the whole corpus.  In a shard the next unused document seeds a window; the
-index is asked with all its terms and returns its unused neighbours, best first, and they fill the window.  The document that crosses a
-window's end is cut there and its rest seeds the next one, so only the tail of a shard could need padding, and
-that is cut into powers of two, which need none.
+The terms of a text are its distinct token ids with their counts, so the corpus statistics (document frequencies, mean length)
+have the size of the vocabulary and cover every row.  Documents are dealt into shards by the smallest hash of
+their token pairs, which brings texts with common wording together.  A shard is bounded in tokens and in documents: loads of
+262,144 ranges of that hash are added up, light neighbours share a shard, and a heavy range (a group of copies of any size)
+is split by row, so rows with equal ids and texts spread too.  Each shard has its own BM25 inverted index.  In a shard
+the next unused document seeds a window; the index is asked with all its terms and returns its unused neighbours,
+best first (ties to the earlier row), and they fill the window.  The document that crosses a window's end is cut there and its rest
+seeds the next one, so only the tail of a shard could need padding, and that is cut into powers of two, which need none.
+
+Defined cases: null and empty texts are the end id alone; rows with equal or null ids are packed like others, each whole; a text
+with more tokens than a shard may hold has a shard of its own; an empty table gives no piece; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -20,149 +25,140 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atrium.llm.common import kept, short_batches
 from atrium.llm.library_tokens import encoder, read_tokenizer
 
-TERMS = 1 << 16
 K1, B = 1.2, 0.75
-#: In ``all_scores``, terms in more documents of a shard than this go through matrix products.
-COMMON = 128
-#: A shard of more documents (many rows of one text without an id) scores one seed at a time, which takes less memory and gives the same.
-MOST_AT_ONCE = 8192
+#: Tokens and documents of a shard, about.
+SHARD_TOKENS, SHARD_ROWS = 1 << 21, 2048
+RANGES = 1 << 18
+#: Posting lists that are laid out at once.
+TERM_BLOCK = 2048
 
 
-def pair_hashes(ids: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of each pair of neighbouring ids (of a single id with itself)."""
+def wording(ids: np.ndarray) -> int:
+    """A 32-bit hash of the smallest hash of two neighbouring ids (of a single id with itself)."""
     ids = ids.astype("uint64")
     first, second = (ids[:-1], ids[1:]) if len(ids) > 1 else (ids, ids)
     x = (first << np.uint64(32) | second) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype("uint32")
+    least = int(((x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).min())
+    return zlib.crc32(least.to_bytes(8, "little"))
 
 
-def encoded(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: id, its ids as bytes, its distinct terms with counts, and its shard key."""
+def vocabulary_size(model: bytes) -> int:
+    made = json.loads(model)
+    return 1 + max([*made["model"]["vocab"].values(), *(t["id"] for t in made.get("added_tokens", []))], default=0)
+
+
+def encoded(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """One row per document: doc_id, row (a number of its own), its ids as bytes, n_tokens and its range; and the type of an id.
+
+    Each task adds one row with the document frequencies of its part (``frequencies``, else null).
+    """
     spark = df.sparkSession
     short_batches(spark)
-    model = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))  # a vocabulary file: a fixed size, under 2 MB
-    kind = df.schema[id_col].dataType.simpleString()
+    file = read_tokenizer(tokenizer_path)
+    model = spark.sparkContext.broadcast(file)  # a vocabulary file: a fixed size, under 2 MB
+    size = max(vocabulary_size(file), end_id + 1)
+    width = "<u2" if size <= 1 << 16 else "<u4"
+    names = ["doc_id", "row", "ids", "n_tokens", "range", "frequencies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(model.value, False)
         end = np.array([end_id], "<u4").tobytes()
+        total, row, kind = np.zeros(size, "int64"), TaskContext.get().partitionId() << 33, None
         for batch in batches:
-            ids, terms, counts, keys = [], [], [], []
+            ids, counts, ranges = [], [], []
+            kind = batch.schema.field(0).type
             for text in batch.column(1).to_pylist():
                 own = np.frombuffer(encode(text or "") + end, "<u4")
-                ids.append(own.astype("<u2").tobytes())
-                pairs = pair_hashes(own)
-                keys.append(int(pairs.min()))
-                term, count = np.unique((pairs & 0xFFFF).astype("uint16"), return_counts=True)
-                terms.append(term.astype("<u2").tobytes())
-                counts.append(np.minimum(count, 255).astype("uint8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array(keys, pa.int64())], names=["doc_id", "ids", "terms", "counts", "shard_key"])
-
-    return kept(df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids binary, terms binary, counts binary, shard_key long"), {"compression": "zstd"})
-
-
-def document_frequencies(table: DataFrame) -> tuple[np.ndarray, int, float]:
-    """How many documents hold each of the 65,536 terms, how many documents there are, and their mean length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TERMS, "int64")
-        for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(x or b"" for x in batch.column(0).to_pylist()), "<u2"), minlength=TERMS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "n"])
-
-    found = np.zeros(TERMS, "int64")
-    for row in table.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        found[row.term] = row.n
-    n, mean = table.agg(F.count(F.lit(1)), F.avg(F.length("ids") / 2)).first()
-    return found, n, float(mean or 1.0)
-
-
-def all_scores(posting_doc: np.ndarray, posting_weight: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
-    """``scores[seed, other]``: the weights in ``other`` of all terms that both have.
-
-    Terms in few documents add each pair of theirs; the others go through matrix products, a block of terms at a time.
-    """
-    size = np.diff(begin)
-    scores = np.zeros(n * n, "float32")
-    for k in range(2, COMMON + 1):
-        of_size = begin[:-1][size == k]
-        for at in range(0, len(of_size), step := max(1, (1 << 21) // (k * k))):
-            which = of_size[at : at + step, None] + np.arange(k)
-            docs = posting_doc[which]
-            pair = (docs[:, :, None] * n + docs[:, None, :]).ravel()
-            weight = np.broadcast_to(posting_weight[which][:, None, :], (len(which), k, k)).ravel()
-            np.add.at(scores, pair, weight)
-    scores = scores.reshape(n, n)
-    common = np.flatnonzero(size > COMMON)
-    for at in range(0, len(common), 1024):
-        some = common[at : at + 1024]
-        spot = np.concatenate([np.arange(begin[t], begin[t + 1]) for t in some])
+                ids.append(own.astype(width).tobytes())
+                counts.append(len(own))
+                ranges.append(wording(own) % RANGES)
+                seen = np.zeros(size, bool)
+                seen[own] = True
+                total += seen
+            n = batch.num_rows
+            columns = [pa.array(np.arange(row, row + n)), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(ranges, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))]
+            row += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+        if kind is not None:
+            last = [pa.nulls(1, kind), *[pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64())], pa.array([total.tolist()], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(last, names=names)
+
+    kinds = [df.schema[id_col].dataType, T.LongType(), T.BinaryType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType())]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in zip(names, kinds, strict=True)])
+    return kept(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema), {"compression": "zstd"}), width
+
+
+def inverse_frequencies(table: DataFrame, n: int) -> np.ndarray:
+    """BM25's weight of each term, from the document frequencies of the whole corpus: one number for each entry of the vocabulary."""
+    parts = table.filter("frequencies is not null").select(F.posexplode("frequencies").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n"))
+    found = {r.term: r.n for r in parts.toLocalIterator()}
+    frequency = np.array([found.get(i, 0) for i in range(max(found, default=0) + 1)], "float64")
+    return np.log1p((n - frequency + 0.5) / (frequency + 0.5))
+
+
+def shards_of_ranges(ranges: list[tuple[int, int, int]], most_tokens: int, most_rows: int) -> list[tuple[int, int, int]]:
+    """(range, tokens, rows) -> (range, first shard, shards): light neighbours share a shard, a heavy range has several."""
+    out, shard, load = [], 0, 0.0
+    for number, tokens, rows in sorted(ranges):
+        own = max(tokens / most_tokens, rows / most_rows)
+        if load and load + own > 1:
+            shard, load = shard + 1, 0.0
+        parts = max(1, int(np.ceil(own)))
+        out.append((number, shard, parts))
+        load += own
+        if parts > 1:
+            shard, load = shard + parts, 0.0
+    return out
+
+
+def scores(terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """``scores[seed, other]``: BM25 of ``other`` for all distinct terms of ``seed``, from the posting lists of one shard."""
+    n = len(lengths)
+    doc = np.repeat(np.arange(n), [len(t) for t in terms])
+    term, tf = np.concatenate(terms).astype("int64"), np.concatenate(counts).astype("float64")
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
+    by_term = np.argsort(term, kind="stable")
+    term, doc, weight = term[by_term], doc[by_term], weight[by_term].astype("float32")
+    known, begin = np.unique(term, return_index=True)
+    size = np.diff(np.r_[begin, len(term)])
+    lists = np.flatnonzero(size > 1)  # a term of one document leads to no other
+    total = np.zeros((n, n), "float32")
+    for at in range(0, len(lists), TERM_BLOCK):
+        some = lists[at : at + TERM_BLOCK]
+        spot = np.repeat(begin[some] - np.r_[0, np.cumsum(size[some])[:-1]], size[some]) + np.arange(size[some].sum())
         column = np.repeat(np.arange(len(some)), size[some])
-        weights, has = np.zeros((n, len(some)), "float32"), np.zeros((n, len(some)), "float32")
-        weights[posting_doc[spot], column], has[posting_doc[spot], column] = posting_weight[spot], 1
-        scores += has @ weights.T
-    return scores
+        has, worth = np.zeros((n, len(some)), "float32"), np.zeros((n, len(some)), "float32")
+        has[doc[spot], column], worth[doc[spot], column] = 1, weight[spot]
+        total += has @ worth.T
+    return total
 
 
-def filling_order(terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, idf: np.ndarray, mean: float, window: int, query_terms: int | None = None) -> list[int]:
-    """The order in which one shard's documents follow each other.  A seed asks with all its terms (with the ``query_terms`` rarest if that is given)."""
+def filling_order(score: np.ndarray, lengths: np.ndarray, window: int) -> list[int]:
+    """The order in which one shard's documents follow each other."""
     n = len(lengths)
-    size = np.array([len(t) for t in terms])
-    term, doc = np.concatenate(terms).astype("int64"), np.repeat(np.arange(n), size)
-    tf = np.concatenate(counts).astype("float64")
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
-    by_term = np.argsort(term, kind="stable")
-    posting_doc, posting_weight = doc[by_term], weight[by_term].astype("float32")
-    begin = np.searchsorted(term[by_term], np.arange(TERMS + 1))
-    scores = all_scores(posting_doc, posting_weight, begin, n) if query_terms is None and n <= MOST_AT_ONCE else None
     free = np.ones(n, bool)
     order: list[int] = []
-    at, cursor = 0, 0
-
-    def neighbours(seed: int) -> Iterator[int]:
-        if scores is not None:
-            score = scores[seed]
-        else:
-            own = terms[seed].astype("int64")
-            if query_terms is not None and len(own) > query_terms:
-                own = own[np.argpartition(-idf[own], query_terms)[:query_terms]]
-            spans = [slice(begin[t], begin[t + 1]) for t in own if begin[t + 1] - begin[t] > 1]
-            if not spans:
-                return
-            score = np.bincount(np.concatenate([posting_doc[s] for s in spans]), np.concatenate([posting_weight[s] for s in spans]), n)
-        found = np.flatnonzero(free & (score > 0))
-        yield from found[np.lexsort((found, -score[found]))].tolist()
-
+    at, cursor, seed = 0, 0, None
     while len(order) < n:
-        if order and at % window:
-            seed = order[-1]
-            for other in neighbours(seed):
-                if not free[other]:
-                    continue
-                free[other] = False
-                order.append(other)
-                before, at = at // window, at + int(lengths[other])
-                if at // window > before:
-                    break
-            else:
-                at_seed = next((i for i in range(cursor, n) if free[i]), None)
-                if at_seed is None:
-                    break
-                cursor = at_seed
-                free[cursor] = False
-                order.append(cursor)
-                at += int(lengths[cursor])
-            continue
-        while not free[cursor]:
-            cursor += 1
-        free[cursor] = False
-        order.append(cursor)
-        at += int(lengths[cursor])
+        pick = None
+        if seed is not None and at % window:
+            near = score[seed] * free
+            best = int(near.argmax())
+            pick = best if near[best] > 0 else None
+        if pick is None:
+            while not free[cursor]:
+                cursor += 1
+            pick = seed = cursor
+        free[pick] = False
+        order.append(pick)
+        before, at = at // window, at + int(lengths[pick])
+        if at // window > before:
+            seed = pick
     return order
 
 
@@ -177,27 +173,28 @@ def cuts(total: int, window: int) -> np.ndarray:
     return np.array(at, "int64")
 
 
-def pack(df: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 2048, query_terms: int | None = None, digests: bool = False) -> DataFrame:
-    """Packs every document (null text: empty) with ``end_id`` after it.
+def pack(df: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, shard_rows: int = SHARD_ROWS, digests: bool = False) -> DataFrame:
+    """Packs every document with ``end_id`` after it.
 
     Returns one row per piece: doc_id, start, length, ids (array of int; with ``digests`` its CRC-32
-    ``ids_crc32`` instead), doc_tokens, sequence_id, offset.  Rows with equal or null ids are packed like others.
+    ``ids_crc32`` instead), doc_tokens, sequence_id, offset.
     """
-    table = encoded(df, tokenizer_path, end_id, id_col, text_col)
-    frequency, n, mean = document_frequencies(table)
+    table, width = encoded(df, tokenizer_path, end_id, id_col, text_col)
+    rows = table.filter("frequencies is null").drop("frequencies")
+    loads = [tuple(r) for r in rows.groupBy("range").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect()]  # a row for each range
+    n, tokens = sum(r[2] for r in loads), sum(r[1] for r in loads)
+    mean = tokens / n if n else 1.0
     spark = df.sparkSession
-    idf = spark.sparkContext.broadcast(np.log1p((n - frequency + 0.5) / (frequency + 0.5)))  # 65,536 doubles
-    kind = table.schema["doc_id"].dataType.simpleString()
-    shards = max(1, -(-n // shard_rows))
+    idf = spark.sparkContext.broadcast(inverse_frequencies(table, n))  # a double for each entry of the vocabulary
+    plan = spark.createDataFrame(shards_of_ranges(loads, shard_tokens, shard_rows), "range long, first long, parts long")
+    names = ["doc_id", "start", "length", "ids_crc32" if digests else "ids", "doc_tokens", "sequence_id", "offset"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [batch for batch in batches if batch.num_rows]
-        if not rows:
-            return
-        whole = pa.Table.from_batches(rows).combine_chunks()
-        ids = [np.frombuffer(x, "<u2") for x in whole["ids"].to_pylist()]
+    def fill(whole: pa.Table) -> pa.Table:
+        whole = whole.sort_by("row")
+        ids = [np.frombuffer(x, width) for x in whole["ids"].to_pylist()]
         lengths = np.array([len(x) for x in ids], "int64")
-        order = np.array(filling_order([np.frombuffer(x, "<u2") for x in whole["terms"].to_pylist()], [np.frombuffer(x, "uint8") for x in whole["counts"].to_pylist()], lengths, idf.value, mean, window, query_terms))
+        known = [np.unique(x, return_counts=True) for x in ids]
+        order = np.array(filling_order(scores([t for t, _ in known], [c for _, c in known], lengths, idf.value, mean), lengths, window))
         stop = np.cumsum(lengths[order])
         begin = cuts(int(stop[-1]), window)
         edge = np.union1d(np.r_[0, stop], begin)
@@ -208,13 +205,11 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0
         sequence = np.searchsorted(begin, left, side="right") - 1
         pieces = [ids[d][s : s + k].astype("<u4") for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
         third = pa.array([zlib.crc32(p) for p in pieces], pa.int64()) if digests else pa.array([p.astype("int32") for p in pieces], pa.list_(pa.int32()))
-        shard = TaskContext.get().partitionId()
-        out = pa.RecordBatch.from_arrays(
-            [whole["doc_id"].combine_chunks().take(pa.array(doc)), pa.array(start), pa.array(length), third, pa.array(lengths[doc]), pa.array((shard << 32) + sequence), pa.array(left - begin[sequence])],
-            names=["doc_id", "start", "length", "ids_crc32" if digests else "ids", "doc_tokens", "sequence_id", "offset"],
-        )
-        for i in range(0, out.num_rows, 4096):
-            yield out.slice(i, 4096)
-
-    third = "ids_crc32 long" if digests else "ids array<int>"
-    return table.repartitionByRange(shards, "shard_key", "doc_id").mapInArrow(run, f"doc_id {kind}, start long, length long, {third}, doc_tokens long, sequence_id long, offset long")
+        shard = whole["shard"][0].as_py()
+        columns = [whole["doc_id"].combine_chunks().take(pa.array(doc)), pa.array(start), pa.array(length), third, pa.array(lengths[doc]), pa.array((shard << 32) + sequence), pa.array(left - begin[sequence])]
+        return pa.table(dict(zip(names, columns, strict=True)))
+
+    kinds = [table.schema["doc_id"].dataType, T.LongType(), T.LongType(), T.LongType() if digests else T.ArrayType(T.IntegerType()), *[T.LongType()] * 3]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in zip(names, kinds, strict=True)])
+    shard = F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))
+    return rows.join(F.broadcast(plan), "range").select("doc_id", "row", "ids", shard.alias("shard")).groupBy("shard").applyInArrow(fill, schema)

@@ -170,32 +170,44 @@ def test_op3_pieces(docs, empty):
     assert packing.pack(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
-def test_op3_neighbours_follow_their_seed():
-    terms = [np.array(t, "uint16") for t in ([1, 2, 3], [7, 8], [1, 2, 9], [7, 5])]
-    order = packing.filling_order(terms, [np.ones(len(t), "uint8") for t in terms], np.array([10, 10, 10, 10]), np.ones(packing.TERMS), 10.0, 25, 8)
-    assert order == [0, 2, 1, 3]
-
-
-@pytest.mark.parametrize("most", [packing.MOST_AT_ONCE, 10])
-def test_op3_asks_with_all_terms(monkeypatch, most):
-    monkeypatch.setattr(packing, "MOST_AT_ONCE", most)
-    monkeypatch.setattr(packing, "COMMON", 8)
-    rng = np.random.default_rng(2)
-    # 40 rare terms of the seed are in document 1, 200 common ones (and the last term of all) in document 2
-    rare, common = np.arange(100, 140), np.r_[np.arange(1000, 1200), packing.TERMS - 1]
-    terms = [np.r_[rare, common], np.r_[rare, 5000:5161], common, *[np.sort(rng.choice(common, 60, False)) for _ in range(37)]]
-    terms = [t.astype("uint16") for t in terms]
-    counts, idf = [rng.integers(1, 5, len(t)).astype("uint8") for t in terms], np.ones(packing.TERMS)
-    idf[rare], lengths = 1.5, np.full(40, 10)
-    tf = [dict(zip(t.tolist(), c.tolist(), strict=True)) for t, c in zip(terms, counts, strict=True)]
-    score = lambda i: sum(idf[t] * c * 2.2 / (c + 1.2) for t, c in tf[i].items() if t in tf[0])
-    want = [0, *sorted(range(1, 40), key=lambda i: -score(i))]
-    assert packing.filling_order(terms, counts, lengths, idf, 10.0, 1000)[:2] == want[:2] == [0, 2]
-    by_term = np.argsort(np.concatenate(terms), kind="stable")
-    doc, term = np.repeat(np.arange(40), [len(t) for t in terms])[by_term], np.concatenate(terms)[by_term]
-    weight = np.array([idf[t] * tf[d][t] * 2.2 / (tf[d][t] + 1.2) for d, t in zip(doc.tolist(), term.tolist(), strict=True)])
-    got = packing.all_scores(doc, weight.astype("float32"), np.searchsorted(term, np.arange(packing.TERMS + 1)), 40)
-    assert np.allclose(got[0, 1:], [score(i) for i in range(1, 40)], rtol=1e-5)
+def test_op3_scores_and_order_against_brute_force(monkeypatch):
+    monkeypatch.setattr(packing, "TERM_BLOCK", 7)
+    rng, n, mean = np.random.default_rng(2), 30, 55.0
+    tf = [dict(zip(*(x.tolist() for x in np.unique(rng.integers(0, 60, rng.integers(1, 400)), return_counts=True)), strict=True)) for _ in range(n)]
+    tf[7] = dict(tf[3])  # a copy: ties go to the earlier row
+    lengths, idf = np.array([sum(d.values()) for d in tf]), rng.random(60)
+    score = lambda s, o: sum(idf[t] * tf[o][t] * 2.2 / (tf[o][t] + 1.2 * (0.25 + 0.75 * lengths[o] / mean)) for t in tf[s] if t in tf[o])
+    got = packing.scores([np.array(sorted(d)) for d in tf], [np.array([d[t] for t in sorted(d)]) for d in tf], lengths, idf, mean)
+    want = np.array([[score(s, o) for o in range(n)] for s in range(n)])
+    assert np.allclose(got[~np.eye(n, dtype=bool)], want[~np.eye(n, dtype=bool)], rtol=1e-4)
+    order, used, at, seed = [], set(), 0, None
+    while len(order) < n:  # the rule, word for word
+        near = [o for o in range(n) if o not in used and seed is not None and at % 100 and got[seed, o] > 0]
+        pick = max(near, key=lambda o: (got[seed, o], -o)) if near else min(set(range(n)) - used)
+        seed = seed if near else pick
+        order.append(pick)
+        used.add(pick)
+        if (at + lengths[pick]) // 100 > at // 100:
+            seed = pick
+        at += lengths[pick]
+    assert packing.filling_order(got, lengths, 100) == order
+
+
+def test_op3_shards_are_bounded():
+    plan = packing.shards_of_ranges([(5, 100, 2), (1, 30, 1), (2, 50, 1), (3, 40, 1), (9, 10, 9)], 100, 4)
+    assert plan == [(1, 0, 1), (2, 0, 1), (3, 1, 1), (5, 2, 1), (9, 3, 3)]
+
+
+def test_op3_copies_of_one_row_spread_and_long_texts_stay_whole(spark):
+    long = prose(1, 150_000)  # a megabyte
+    rows = [(1, prose(3, 40))] * 300 + [(2, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack(df, P.path("byte_bpe_50k.json"), shard_tokens=5000).collect()
+    assert len({r.sequence_id >> 32 for r in got if r.doc_id == 1}) >= 3
+    tokens = max(r.doc_tokens for r in got if r.doc_id == 1)
+    assert sum(r.length for r in got if r.doc_id == 1) == 300 * tokens
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert [x for r in sorted((r for r in got if r.doc_id == 2), key=lambda r: r.start) for x in r.ids] == [*library.encode(long, add_special_tokens=False).ids, 0]
 
 
 def test_op4_findings_and_marks(spark):
