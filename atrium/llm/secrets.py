@@ -1,17 +1,19 @@
 """Operator 4: secret scans, with a random forest that removes false positives.  DataFrame expressions only.
 
-Every run of 20 or more token characters in a text is a candidate.  A candidate's features are its length, its
+Every run of 20 or more token characters in a text is a candidate, and so is a value of six or more signs of any kind
+that is assigned to a name with a secret word in it (``db_password = hunter2#x``); shorter values are not looked at.  A candidate's features are its length, its
 character classes and the transitions between them, how likely its character pairs are in ordinary words, how much
 of it a dictionary covers, marks of a path, and the words and signs beside it.  A forest is trained on labelled
 findings; its trees become nested CASE expressions over the array of candidates, so that scanning is one map over
 the rows: no shuffle, no explode, and one text is the largest thing that a task holds.
 
 Dictionary and character pairs are counted over all words of all texts.  The labelled findings are made, by rule, around
-words of a bounded sample (a slice of each of the ``sample_rows`` distinct texts of smallest hash): generated keys in assignments
-against digests of commits, checksums, paths, addresses, glued words, rules of signs and placeholders.
+words of a bounded sample (a slice of each of the ``sample_rows`` distinct texts of smallest hash): generated keys and passwords in
+assignments against digests of commits, checksums, paths, addresses, glued words, plain words, code, rules of signs and placeholders.
 
-Defined cases: null and empty texts have no candidates; candidates are scanned wherever they stand, any number in a text;
-equal texts get equal findings.
+Defined cases: null and empty texts have no candidates; candidates are scanned wherever they stand, any number in a text, and
+of any length, in time that is linear in it; equal texts and repeated rows get equal findings; an empty table trains no forest and
+has no findings; ``redacted`` keeps all columns, but for names of its own with a leading underscore (_found, _pieces, _scores, _features).
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 
 from atrium.llm.common import kept
 
-CANDIDATE = r"[A-Za-z0-9_+/=.\-]{20,}"
 #: Words that stand beside secrets, and beside other long tokens.
 SECRET_WORDS = "token|secret|passw|pwd|api.?key|apikey|access.?key|private.?key|auth|credential|bearer|client.?key"
 OTHER_WORDS = "commit|sha[0-9]*|md5|checksum|digest|hash|integrity|etag|uuid|guid|revision|blob|version|build|href|src|path|file"
+#: A value behind an assignment to a name with a secret word, told by what stands just before it, or a long run of token characters.
+ASSIGNED = f"(?<=[=:\"'`]|[=:] )(?<=(?i:{SECRET_WORDS.replace('.?', '[_-]?')})[A-Za-z_]{{0,12}}[\"'`]?\\s{{0,2}}(?::=|=>|=|:) ?[\"'`]?)[^\\s\"'`]{{6,}}"
+CANDIDATE = ASSIGNED + r"|[A-Za-z0-9_+/=.\-]{20,}"
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 FEATURES = 17
 #: Characters of a sampled text that are looked at, at a place drawn by hash.
@@ -40,11 +44,11 @@ MARK = "[SECRET]"
 
 @dataclass
 class Forest:
-    """``pairs``: a character for each pair of LETTERS (or other signs), higher where the pair is likelier."""
+    """``pairs``: a number for each pair of LETTERS (or other signs), higher where the pair is likelier; ``words``: the dictionary."""
 
     trees: list
-    pairs: str
-    words: str
+    pairs: list[int]
+    words: list[str]
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -55,14 +59,23 @@ def _only(c: Column, kept: str) -> Column:
     return F.regexp_replace(c, f"[^{kept}]", "")
 
 
-def features(c: Column, left: Column, right: Column, pairs: str, words: str) -> Column:
+def _likely_pairs(low: Column, pairs: list[int]) -> Column:
+    """The sum over neighbouring characters of how likely their pair is; the characters are taken apart once."""
+    table = F.split(F.lit(",".join(map(str, pairs))), ",").cast("array<int>")  # a constant: folded once
+    at = lambda ch: F.instr(F.lit(LETTERS), ch)
+    places = F.transform(F.filter(F.split(low, ""), lambda ch: ch != ""), at)
+    start = F.struct(F.lit(0).alias("last"), F.lit(0).cast("long").alias("sum"))
+    step = lambda a, i: F.struct(i.alias("last"), (a["sum"] + F.get(table, a["last"] * (len(LETTERS) + 1) + i)).alias("sum"))
+    first = F.get(table, F.instr(F.lit(LETTERS), F.left(low, F.lit(1))))  # what the start value adds before the first character
+    return F.aggregate(places, start, step, lambda a: a["sum"]) - first
+
+
+def features(c: Column, left: Column, right: Column, pairs: list[int], words: list[str]) -> Column:
     """An array of FEATURES doubles."""
     size, low = F.greatest(F.length(c), F.lit(1)), F.lower(c)
-    at = lambda i: F.instr(F.lit(LETTERS), F.substring(low, i, F.lit(1)))
-    likely = lambda i: F.ascii(F.substring(F.lit(pairs), (at(i) * (len(LETTERS) + 1) + at(i + 1) + 1).cast("int"), F.lit(1))) - 33
-    mean = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), F.lit(0.0), lambda a, i: a + likely(i)) / size
+    mean = _likely_pairs(low, pairs) / size
     parts = F.split(low, "[^a-z]+")
-    covered = F.aggregate(parts, F.lit(0), lambda a, p: a + F.when((F.length(p) >= 2) & (F.instr(F.lit(words), F.concat(F.lit(" "), p, F.lit(" "))) > 0), F.length(p)).otherwise(0))
+    covered = F.aggregate(parts, F.lit(0), lambda a, p: a + F.when((F.length(p) >= 2) & p.isin(words), F.length(p)).otherwise(0))
     flag = lambda condition: F.when(condition, 1.0).otherwise(0.0)
     near = F.lower(left)
     changes = F.regexp_count(c, F.lit("[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[^A-Za-z0-9](?=[A-Za-z0-9])"))
@@ -129,7 +142,7 @@ def candidates(text: Column) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
 
 
-def _context(found: Column, pieces: Column, pairs: str, words: str) -> Column:
+def _context(found: Column, pieces: Column, pairs: list[int], words: list[str]) -> Column:
     """An array of features, one entry for each candidate."""
     return F.transform(found, lambda c, i: features(c, F.right(F.get(pieces, i), F.lit(48)), F.left(F.get(pieces, i + 1), F.lit(16)), pairs, words))
 
@@ -144,16 +157,22 @@ def labelled_findings(sample: DataFrame) -> DataFrame:
     b64 = lambda i: F.base64(F.unhex(F.sha2(key(i), 256)))
     alnum = lambda i: _only(b64(i), "A-Za-z0-9")
     lit = F.lit
+    low = lambda i: F.lower(word(i))
+    hexes = lambda i, n: F.substring(F.md5(key(i)), 1, n)
     secrets = [
         (' token = "', F.sha1(key(1)), '" '), (' TOKEN = "', F.upper(F.sha1(key(2))), '"!! '), (" api_key: '", F.md5(key(3)), "' "), (" secret=", F.sha2(key(4), 256), "\n"),
         (' "password": "', b64(5), '", '), (" AWS_ACCESS_KEY = ", F.concat(lit("AKIA"), F.upper(F.substring(F.md5(key(6)), 1, 16))), " "), (" Authorization: Bearer ", F.concat(lit("ghp_"), F.substring(alnum(7), 1, 36)), " "),
         (" client_key = `", F.concat(lit("sk_live_"), F.substring(alnum(8), 1, 24)), "` "), (" access_key := \"", F.substring(alnum(9), 1, 40), '" '), (" ", F.concat(lit("xoxb-"), F.conv(F.substring(F.md5(key(10)), 1, 10), 16, 10), lit("-"), F.substring(alnum(11), 1, 24)), " "),
+        (" password: ", F.concat(low(12), lit("#"), hexes(13, 5)), " "), (' db_password = "', F.concat(F.initcap(word(14)), hexes(15, 3), lit("!")), '" '), (" pwd=", F.substring(alnum(16), 1, 10), "\n"), (" secret: ", F.concat(F.upper(hexes(17, 4)), lit("@"), low(18), hexes(19, 3)), " "),
+        (" api_key=", F.substring(alnum(20), 1, 14), " "), (" auth_token: '", hexes(120, 12), "' "), (" passwd := ", F.concat(lit("$"), F.substring(b64(121), 1, 9), lit("%&")), " "), (" credential=", F.concat(low(122), hexes(123, 6)), " "),
     ]
     others = [
         (" commit ", F.sha1(key(21)), " "), (" sha256:", F.sha2(key(22), 256), " "), (" checksum = ", F.md5(key(23)), " "), (' integrity="', F.concat(lit("sha512-"), b64(24)), '" '),
         (" uuid ", F.regexp_replace(F.md5(key(25)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), " "), (" https:", F.concat(lit("//"), glue("/", 26, 27, 28, 29, 30), lit(".html")), " "),
         (" /blob/", F.concat(F.sha1(key(31)), lit("/"), glue("/", 32, 33)), " "), (" file ", F.concat(lit("/usr/lib/"), glue("/", 34, 35, 36), lit(".so.1")), " "), (" ", glue("", 37, 38, 39, 40, 41, 42), " "), (" ", F.upper(glue("", 43, 44, 45, 46, 47, 48)), "!! "),
         (" def ", glue("_", 49, 50, 51, 52, 53), "(): "), (' api_key = "', F.concat(lit("your_api_key_"), glue("_", 54, 55)), '" '), (' token = "', F.repeat(lit("x"), 24), '" '), ("\n", F.repeat(lit("="), 40), "\n"), ("\n", F.repeat(lit("-"), 32), "\n"), (' token = "', F.concat(lit("EXAMPLE"), F.sha1(key(56))), '" '), (" ", F.repeat(lit("0123456789"), 3), " "), (" <a href=\"", F.concat(lit("/static/"), F.md5(key(57)), lit(".css")), '"> '),
+        (" password: ", F.concat(low(58), lit("word")), " "), (' token = "', glue("_", 59, 130), '" '), (" auth: ", glue(".", 131, 132), "\n"), (" secret = ", F.concat(lit("get_"), low(133), lit("("), low(134), lit(")")), "\n"),
+        (' password = "', lit("********"), '" '), (" pwd=", lit("changeme"), " "), (" token: ", F.concat(lit("<your-"), low(135), lit(">")), " "), (" credential: ", F.concat(low(136), lit("ation,")), " "), (" authors: ", glue(",", 137, 138), " "), (" secret: ", F.concat(low(139), lit("-"), low(140), lit("!!")), " "),
     ]
     rows = [F.struct(F.concat(word(60 + i), lit(a), v, lit(b), word(90 + i)).alias("text"), lit(y).alias("label")) for i, (a, v, b, y) in enumerate([*[(*s, 1.0) for s in secrets], *[(*o, 0.0) for o in others]])]
     return base.select(F.explode(F.array(*rows)).alias("f")).select("f.*")
@@ -173,15 +192,15 @@ def fit(df: DataFrame, text_col: str = "text", sample_rows: int = 400, dictionar
     sample = sampled(df, text_col, sample_rows, seed).coalesce(1).sortWithinPartitions("n")
     words = df.select(F.explode(F.split(F.lower(text_col), "[^a-z]+")).alias("word")).filter("length(word) > 1")
     words = kept(words.groupBy("word").count())
-    known = [r.word for r in words.orderBy(F.desc("count"), "word").limit(dictionary_words).collect()]
-    if not known:
+    listed = [r.word for r in words.orderBy(F.desc("count"), "word").limit(dictionary_words).collect()]
+    if not listed:
         return None
-    pair = words.select("count", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair"))
+    letters = words.select("count", F.filter(F.split("word", ""), lambda ch: ch != "").alias("ch"))
+    pair = letters.select("count", F.explode(F.zip_with(F.slice("ch", 1, F.size("ch") - 1), F.slice("ch", 2, F.size("ch") - 1), lambda a, b: F.concat(a, b))).alias("pair"))
     counts = {r.pair: r.n for r in pair.groupBy("pair").agg(F.sum("count").alias("n")).collect()}  # 26 x 26 at most
     most = max(counts.values())
     signs = " " + LETTERS
-    table = "".join(chr(33 + min(89, int(89 * (counts.get(a + b, 0) / most) ** 0.5))) for a in signs for b in signs).replace("\\", "]").replace("'", "(")
-    listed = f" {' '.join(known)} "
+    table = [int(89 * (counts.get(a + b, 0) / most) ** 0.5) for a in signs for b in signs]
     found = labelled_findings(sample)
     match, pieces = candidates(F.col("text"))
     rows = found.select("label", match.alias("c"), pieces.alias("p")).filter(F.size("c") > 0)

@@ -7,6 +7,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -233,7 +234,63 @@ def test_op4_learns_words_of_all_texts(spark):
     copies = df.union(spark.createDataFrame([(900 + i, first) for i in range(20)], df.schema))
     assert secrets.sampled(copies, "text", 5, 7).select("n").distinct().count() == 5
     forest = secrets.fit(copies, sample_rows=5)
-    assert all(f" {t.split()[0]} " in forest.words for _, t in rows)
+    assert all(t.split()[0] in forest.words for _, t in rows)
+
+
+def test_op4_votes_as_the_trained_model(spark):
+    """The CASE expressions give the share of the model's own trees, and the features are those of a plain Python version."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 4)).round(3)
+    df = spark.createDataFrame([([float(v) for v in r], float(r[0] + r[1] * r[2] > 0.9)) for r in x], "x array<double>, label double")
+    model = RandomForestClassifier(numTrees=7, maxDepth=4, seed=1, featuresCol="v").fit(df.select(array_to_vector("x").alias("v"), "label"))
+    trees = secrets.read_forest(model.toDebugString)
+    for r in df.select("x", secrets.vote(trees, F.col("x")).alias("got")).collect():
+        assert r.got == pytest.approx(np.mean([t.predict(Vectors.dense(r.x)) for t in model.trees]))
+
+
+def test_op4_features_against_plain_python(spark):
+    signs = " " + secrets.LETTERS
+    pairs = [(3 * i + j) % 90 for i in range(37) for j in range(37)]
+    words = ["the", "and", "key", "ab"]
+    values = ["aB3-the/AND_x9", "zz", "ab", "0123456789abcdef" * 3, "the" * 7, "#§ü!ab"]
+
+    def plain(c):
+        place = lambda ch: secrets.LETTERS.find(ch) + 1
+        low = c.lower()
+        kind = lambda ch: 0 if "a" <= ch <= "z" else 1 if "A" <= ch <= "Z" else 2 if "0" <= ch <= "9" else 3
+        mean = sum(pairs[place(a) * len(signs) + place(b)] for a, b in zip(low, low[1:], strict=False)) / len(c)
+        covered = sum(len(w) for w in re.split("[^a-z]+", low) if w in words) / len(c)
+        digits, upper, lower = (sum(kind(ch) == k for ch in c) / len(c) for k in (2, 1, 0))
+        return [len(c), digits, upper, lower, mean, covered, c.count("/") / len(c), len(set(c)) / len(c)]
+
+    df = spark.createDataFrame([(v,) for v in values], "c string")
+    got = df.select("c", secrets.features(F.col("c"), F.lit(" token = "), F.lit(" "), pairs, words).alias("f")).collect()
+    for r in got:
+        f = r.f
+        assert [f[0], f[1], f[2], f[3], f[5], f[6], f[7], f[13]] == pytest.approx(plain(r.c)), r.c
+        assert f[10] == f[11] == 1.0 and f[12] == 0.0
+
+
+def test_op4_short_secrets_and_long_candidates(spark):
+    texts = [prose(i, 50) for i in range(40)]
+    planted = {3: 'password = "hunter2#x"', 4: "db_passwd: kH7!q9zz", 5: "pwd=Sommer2024!"}
+    harmless = {6: "password: alpha", 7: "the author = beta", 8: 'token = "********"'}
+    for i, t in (planted | harmless).items():
+        texts[i] += f" {t} tail"
+    blob = base64.b64encode(np.random.default_rng(1).bytes(750_000)).decode()  # a megabyte
+    df = spark.createDataFrame([*enumerate(texts), (99, f"data {blob} end")], "doc_id long, text string")
+    forest = secrets.fit(df.filter("doc_id < 99"), sample_rows=40)
+    start = time.time()
+    found = secrets.findings(df, forest).collect()
+    assert time.time() - start < 60
+    said = {r.doc_id for r in found if r.secret and r.doc_id < 99}
+    assert set(planted) <= said and not said & set(harmless)
+    assert [r.length for r in found if r.doc_id == 99] == [len(blob)]
+    assert all(texts[r.doc_id][r.start : r.start + r.length] == r.candidate for r in found if r.doc_id < 99)
 
 
 def test_op4_forest_reads_as_the_model_votes(spark):
