@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -175,50 +175,69 @@ def _rows_in_order(rows: int, interlaced: bool) -> np.ndarray:
     return np.concatenate([np.arange(a, rows, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
+class _Ends(Exception):
+    """The data stops before the structure does."""
+
+
+def _part(data: bytes, at: int, n: int) -> bytes:
+    if at + n > len(data):
+        raise _Ends
+    return data[at : at + n]
+
+
+def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
+    parts = []
+    while size := _part(data, at, 1)[0]:
+        parts.append(_part(data, at + 1, size))
+        at += 1 + size
+    return b"".join(parts), at + 1
+
+
+def _palette(data: bytes, at: int, bits: int) -> tuple[np.ndarray | None, int]:
+    if not bits & 0x80:
+        return None, at
+    n = 3 << (bits & 7) + 1
+    return np.frombuffer(_part(data, at, n), "uint8").reshape(-1, 3), at + n
+
+
+def frames(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF as they are shown, one at a time: a frame's picture is the canvas itself, which the next one draws on.
+
+    Data that ends early or has a code beyond its table gives the frames before the break; what is no GIF gives none.
+    """
+    try:
+        yield from _drawn(data)
+    except (_Ends, ValueError):
+        return
+
+
 def read(data: bytes) -> list[Frame]:
-    """The frames of a GIF as they are shown.  Data that ends early gives the frames before the break."""
+    """All frames, each with a picture of its own."""
+    return [replace(f, picture=f.picture.copy()) for f in frames(data)]
+
+
+def _drawn(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
-        raise ValueError("not a GIF")
-    width, height, flags = struct.unpack_from("<HHB", data, 6)
-    at = 13
-    shared = None
-    if flags & 0x80:
-        n = 3 << (flags & 7) + 1
-        shared = np.frombuffer(data, "uint8", n, at).reshape(-1, 3)
-        at += n
+        return
+    width, height, flags = struct.unpack("<HHB", _part(data, 6, 5))
+    shared, at = _palette(data, 13, flags)
     canvas = np.zeros((height, width, 4), "uint8")
-    frames: list[Frame] = []
     disposal, delay, clear_index, clock = 0, 0, -1, 0
-
-    def sub_blocks(at: int) -> tuple[bytes, int]:
-        parts = []
-        while data[at]:
-            parts.append(data[at + 1 : at + 1 + data[at]])
-            at += 1 + data[at]
-        return b"".join(parts), at + 1
-
-    while at < len(data):
-        kind = data[at]
-        if kind == 0x3B:
-            break
+    while (kind := _part(data, at, 1)[0]) in (0x21, 0x2C):  # anything else ends the stream
         if kind == 0x21:
-            label = data[at + 1]
-            body, at = sub_blocks(at + 2)
+            label = _part(data, at + 1, 1)[0]
+            body, at = _sub_blocks(data, at + 2)
             if label == 0xF9 and len(body) >= 4:
                 bits, delay, index = struct.unpack_from("<BHB", body)
                 disposal, clear_index = bits >> 2 & 7, index if bits & 1 else -1
             continue
-        if kind != 0x2C:
-            break
-        left, top, w, h, bits = struct.unpack_from("<HHHHB", data, at + 1)
-        at += 10
-        palette = shared
-        if bits & 0x80:
-            n = 3 << (bits & 7) + 1
-            palette = np.frombuffer(data, "uint8", n, at).reshape(-1, 3)
-            at += n
-        start = data[at]
-        stream, at = sub_blocks(at + 1)
+        left, top, w, h, bits = struct.unpack("<HHHHB", _part(data, at + 1, 9))
+        own, at = _palette(data, at + 10, bits)
+        palette = shared if own is None else own
+        start = _part(data, at, 1)[0]
+        if not 1 <= start <= 11:
+            raise _Ends
+        stream, at = _sub_blocks(data, at + 1)
         samples = np.frombuffer(lzw_decode(stream, start, w * h).ljust(w * h, b"\0"), "uint8").reshape(h, w)
         index = np.empty_like(samples)
         index[_rows_in_order(h, bool(bits & 0x40))] = samples
@@ -231,11 +250,10 @@ def read(data: bytes) -> list[Frame]:
         if palette is not None:
             colours[: len(palette)] = palette
         target[drawn] = np.concatenate([colours[seen[drawn]], np.full((int(drawn.sum()), 1), 255, "uint8")], axis=1)
-        frames.append(Frame(clock, delay * 10, canvas.copy(), left, top, w_seen, h_seen))
+        yield Frame(clock, delay * 10, canvas, left, top, w_seen, h_seen)
         clock += delay * 10
         if disposal == 2:
             canvas[top : top + h_seen, left : left + w_seen] = 0
         elif before is not None:
             canvas = before
         disposal, delay, clear_index = 0, 0, -1
-    return frames

@@ -7,25 +7,28 @@ bytes, so every byte counts.  Training uses windows of a bounded sample of label
 of their texts by hash.
 
 Defined cases: text that is null or has no letter is "und" with score 0, and so is everything if there are no
-labelled rows; rows without a language are not learned from; every row of the input gives a row.
+labelled rows; rows without a language are not learned from; every row of the input gives a row, repeated rows the same one; equal
+logits go to the language that is first by name; an empty table gives no row; a text of any length is cut into windows whole, and its
+windows are looked at 64 at a time; only the id, the text and the columns asked for are read, whatever the names of others.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atrium.llm.common import short_batches, smallest
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _columns(x: np.ndarray, width: int) -> np.ndarray:
@@ -137,7 +140,7 @@ def predict(df: DataFrame, network: Network | None, id_col: str = "doc_id", text
     short_batches(df.sparkSession)
     columns = [id_col, *(more or [])]
     shared = df.sparkSession.sparkContext.broadcast(network)  # a few thousand weights
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in columns], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -160,7 +163,7 @@ def predict(df: DataFrame, network: Network | None, id_col: str = "doc_id", text
             kept = [batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(label), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    return df.select(*columns, F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -5,18 +5,24 @@ good), one of the raw corpus (every text).  A document's weight is the mean log
 n-grams, times a fixed effective length, so that long and short texts compare; adding Gumbel noise and taking
 the k largest samples k documents without replacement in proportion to their weights.
 
+The mean times a fixed length stands for the sum that a likelihood ratio has: a sum over thousands of n-grams would
+drown the Gumbel noise and let length decide; this way every text counts as one of 100 n-grams.
+
 Counts have a fixed number of buckets, so the models have a fixed size at any scale.  The raw counts cover
 all rows; the target comes from at most ``most_labelled`` labelled rows (those of smallest hash), whose ids are
-broadcast.  ``k`` may be given; else it is the number of documents whose key reaches a bar.  One half of the labelled good
-rows makes the target; the other half, and as many labelled bad ones (quality 0) at most, set the bar where the fewest
-labels are decided wrongly.  Toxic rows are in neither half.  The noise is a hash of id and text, so a rerun draws the same.
+broadcast.  ``k`` may be given; else it is the number of documents whose key reaches a bar.  One half of the
+labelled good rows makes the target; the other half, and as many labelled bad ones (quality 0) at most, set the bar where the fewest
+labels are decided wrongly.  Toxic rows are in neither half.  Then the ``k`` largest keys (weight and noise) of the whole
+table are drawn.  The noise is a hash of id and text, so a rerun draws the same.
 
 The mean over n-grams sees what a text is made of, not a few words in it: a toxic text that is good otherwise (about
 five insult words) has nearly the weight of a clean one and is kept.
 
 Defined cases: text that is null or has no word has no weight and is rejected; without labelled good rows all texts
 with words are kept; without labelled bad rows the bar is what all but ``loss`` of the held-out good ones reach; an id
-that is labelled twice is good only if it is never bad; rows with equal ids and texts share their fate.
+that is labelled twice is good only if it is never bad; rows with equal ids and texts share their key and their fate, so a tie at the
+``k``-th key keeps all of its rows; texts may have any length (a task holds the n-grams of one batch); an empty table
+gives none; ``df`` keeps all columns, but for names of its own with a leading underscore (_n_grams, _log_ratio, _key, _kept).
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,8 +144,8 @@ def best_bar(good: np.ndarray, bad: np.ndarray, weight: float = 1.0) -> float:
     return float((first + below.max()) / 2 if len(below) else first)
 
 
-def resample(df: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 20_000, loss: float = 0.002, seed: int = 0) -> DataFrame:
-    """All columns of ``df`` with _n_grams, _log_ratio, _key and _kept.
+def drawn(df: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 20_000, loss: float = 0.002, seed: int = 0) -> tuple[np.ndarray, DataFrame, float | None]:
+    """The log ratios, the rows' numbers (_id, _n_grams, _log_ratio, _key), and the ``k``-th largest key (None: no row is drawn).
 
     ``labels``: doc_id, quality (0 or 1), toxic (0 or 1).  The target is quality 1 without toxic ones.
     """
@@ -149,16 +155,14 @@ def resample(df: DataFrame, labels: DataFrame, k: int | None = None, id_col: str
     tested = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)) == 1
     sample = kept(part(good).withColumn("good", F.lit(True)).union(part(bad).withColumn("good", F.lit(False))))
     target = sample.filter(~tested & F.col("good")).select("id")
-    rows = df.select(F.col(id_col).alias("_id"), text_col)
+    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`"))
     ratio = models(rows, target, text_col)
-    if not ratio.any():
-        return keyed(df, ratio, id_col, text_col, seed).withColumn("_kept", F.col("_key").isNotNull())
+    asked = sample.filter(tested | ~F.col("good"))
+    marks = kept(keyed(rows, ratio, "_id", text_col, seed).drop(text_col))  # numbers only
     if k is None:
-        asked = sample.filter(tested | ~F.col("good"))
-        held = rows.join(F.broadcast(asked), F.col("_id") == F.col("id")).select("_id", text_col, "good")
-        marks = keyed(held, ratio, "_id", text_col, seed).filter("_key is not null")
-        marks = marks.groupBy("_id", "good").agg(F.min("_key").alias("key")).select("good", "key").toPandas()  # one row for each sampled id
-        keys = {g: marks.loc[marks["good"] == g, "key"].to_numpy("float64") for g in (True, False)}
+        held = marks.join(F.broadcast(asked), F.col("_id") == F.col("id")).filter("_key is not null")
+        held = held.groupBy("_id", "good").agg(F.min("_key").alias("key")).select("good", "key").toPandas()  # one row for each sampled id
+        keys = {g: held.loc[held["good"] == g, "key"].to_numpy("float64") for g in (True, False)}
         if not len(keys[True]):
             bar = None
         elif not len(keys[False]):
@@ -167,13 +171,21 @@ def resample(df: DataFrame, labels: DataFrame, k: int | None = None, id_col: str
             all_of = {r.quality: r.n for r in known.filter("quality = 0 or toxic = 0").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
             asked_of = {r.good: r.n for r in asked.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
             bar = best_bar(keys[True], keys[False], all_of[0] / asked_of[False] / (all_of[1] / asked_of[True]))
-    else:
-        bar = kth_largest(kept(keyed(df.select(id_col, text_col), ratio, id_col, text_col, seed).select("_key")), k)
-    above = F.col("_key") >= F.lit(bar) if bar is not None else F.col("_key").isNotNull() & F.lit(k is None)
-    return keyed(df, ratio, id_col, text_col, seed).withColumn("_kept", F.coalesce(above, F.lit(False)))
+        k = marks.filter(F.col("_key").isNotNull() if bar is None else F.col("_key") >= bar).count()
+    return ratio, marks, kth_largest(marks.select("_key"), k)
+
+
+def resample(df: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 20_000, loss: float = 0.002, seed: int = 0) -> DataFrame:
+    """All columns of ``df`` with _n_grams, _log_ratio, _key and _kept: whether the key is one of the ``k`` largest."""
+    ratio, _, least = drawn(df, labels, k, id_col, text_col, most_labelled, loss, seed)
+    return keyed(df, ratio, id_col, text_col, seed).withColumn("_kept", _reaches(least))
+
+
+def _reaches(least: float | None) -> Column:
+    return F.coalesce(F.col("_key") >= F.lit(least), F.lit(False)) if least is not None else F.lit(False)
 
 
 def quality(df: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_grams, log_ratio, key, kept of every document."""
-    done = resample(df.select("doc_id", "text"), labels)
-    return done.select("doc_id", F.col("_n_grams").alias("n_grams"), F.col("_log_ratio").alias("log_ratio"), F.col("_key").alias("key"), F.col("_kept").alias("kept"))
+    _, marks, least = drawn(df, labels)
+    return marks.select(F.col("_id").alias("doc_id"), F.col("_n_grams").alias("n_grams"), F.col("_log_ratio").alias("log_ratio"), F.col("_key").alias("key"), _reaches(least).alias("kept"))

@@ -5,6 +5,10 @@ pages are small, so the column index of ``doc_id`` lets a reader of a few docume
 reader of metadata never touches the ids.  ``ids`` is dictionary-encoded; the id and offset columns are
 delta-encoded.  The order is made by one range exchange; offsets inside a file are counted while it is
 written and the files' own offsets come from one row for each file.
+
+Defined cases: null and empty texts are the end id alone; rows with equal ids are ordered by a hash of their text and null ids
+come first; repeated rows are stored as often; a text of any length is one list (a task holds one batch of lists); an empty table
+gives no row; only the id and the text are read, whatever the names of other columns.
 """
 
 from __future__ import annotations
@@ -23,7 +27,11 @@ from pyspark.sql.window import Window
 from atrium.llm.common import kept, scratch, short_batches
 from atrium.llm.library_tokens import encoder, read_tokenizer
 
-SCHEMA = "part int, doc_id {kind}, local_start long, n_tokens long, ids array<int>"
+def _schema(kind: T.DataType) -> T.StructType:
+    kinds = {"part": T.IntegerType(), "doc_id": kind, "local_start": T.LongType(), "n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType())}
+    return T.StructType([T.StructField(name, k) for name, k in kinds.items()])
+
+
 #: Parquet writer settings: row groups of 16 MB, pages of 64 kB, delta encodings, no dictionary for the sorted columns.
 LAYOUT = {
     "parquet.block.size": str(16 << 20),
@@ -47,9 +55,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, path: str, id_
     short_batches(spark)
     model = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))  # a vocabulary file: a fixed size, under 2 MB
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.select(F.lit(1)).count() // rows_per_file))
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(model.value, words)
@@ -68,13 +75,13 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, path: str, id_
             at += int(stop[-1]) if len(n) else 0
 
     ordered = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    ordered.mapInArrow(run, SCHEMA.format(kind=kind)).write.options(**LAYOUT).parquet(path)
+    ordered.mapInArrow(run, _schema(rows.schema["doc_id"].dataType)).write.options(**LAYOUT).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, id_type: T.DataType | str = "long", first: int | None = None, last: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """The table, or only ``columns`` of it, or only the ids from ``first`` to ``last`` (pushed to row groups and pages)."""
-    kind = id_type if isinstance(id_type, str) else id_type.simpleString()
-    df = spark.read.schema(SCHEMA.format(kind=kind)).parquet(path)
+    kind = T.DataType.fromDDL(id_type) if isinstance(id_type, str) else id_type
+    df = spark.read.schema(_schema(kind)).parquet(path)
     if first is not None:
         df = df.filter(F.col("doc_id") >= first)
     if last is not None:
@@ -96,7 +103,8 @@ def with_starts(tokens: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
 
 def digests(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of what is stored."""
-    kind = tokens.schema["doc_id"].dataType.simpleString()
+    kinds = [tokens.schema["doc_id"].dataType, *[T.LongType()] * 3]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in zip(("doc_id", "start", "n_tokens", "ids_crc32"), kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +115,7 @@ def digests(tokens: DataFrame) -> DataFrame:
                 sums.append(zlib.crc32(values[a:b]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "ids").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "start", "ids").mapInArrow(run, schema)
 
 
 def token_digests(df: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

@@ -130,7 +130,7 @@ def test_op2_against_brute_force(spark):
     odd = [(5000, None), (5001, [0.0] * 24), (5002, [None] * 24), (5003, [float("nan")] * 24), (5004, [1.0]), (None, [1.0] * 24), (5100, [])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
     got = collections.defaultdict(list)
-    for r in one_bit_search.search(df, block_rows=300).orderBy("query_id", "rank").collect():
+    for r in one_bit_search.search(df, at_once=4).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     assert sorted(got) == list(range(0, 1500, 100))
     hit = 0
@@ -144,6 +144,42 @@ def test_op2_against_brute_force(spark):
     assert one_bit_search.search(df.limit(0)).count() == 0
 
 
+def test_op2_recall_ties_and_repeated_rows(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, "float64")) for r in table.select("vec_id", "embedding").collect() if r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    ids, v = np.array([i for i, _ in rows]), np.stack([x for _, x in rows])
+    got = collections.defaultdict(list)
+    for r in one_bit_search.search(table).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((v - v[ids == q][0]) ** 2).sum(axis=1))
+        best = [i for i in ids[np.lexsort((ids, d))] if i != q][:10]
+        hits, total = hits + len(set(best) & set(got[q])), total + len(best)
+    assert hits >= 0.9 * total
+    few = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(0, 500, 50)] * 2, "vec_id long, embedding array<double>")
+    for q in (0, 100):
+        near = [(r.vec_id, r.score) for r in one_bit_search.search(few).filter(f"query_id = {q}").orderBy("rank").collect()]
+        assert near == sorted([(i, 0.0) for i in range(0, 500, 50) if i != q] * 2)[:10]
+
+
+def test_op2_estimates_from_packed_bits():
+    rng = np.random.default_rng(4)
+    v, centre, turn = rng.standard_normal((4000, 96)), rng.standard_normal(96) / 5, one_bit_search.rotation(96)
+    words, length, fit = one_bit_search.code(v, centre, turn)
+    assert words.shape == (4000, 2)
+    ones = np.bitwise_count(words).sum(axis=1)
+    query = one_bit_search.Query(v[0] + 0.3, centre, turn)
+    estimate, low = query.bounds(words, ones, length, fit)
+    true = ((v - query.vector) ** 2).sum(axis=1)
+    unit = np.unpackbits(words.view("uint8"), axis=1)[:, :96] * 2.0 - 1
+    level = query.planes.view("uint8")
+    q = query.low + query.step * sum(np.unpackbits(level[i : i + 1], axis=1)[0, :96].astype("float64") * 2**i for i in range(4))
+    base = length**2 + query.far**2
+    assert np.allclose(estimate, base - 2 * length * query.far * (unit @ q) / np.sqrt(96) / fit)  # the same from unpacked signs
+    assert np.corrcoef(estimate, true)[0, 1] > 0.7 and (low <= true).mean() > 0.98
+
+
 def test_op3_pieces(docs, empty):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     library.encode_special_tokens = True
@@ -350,6 +386,47 @@ def test_op6_drops_labelled_bad_documents(spark):
     assert share[1] >= 0.97 and share[0] <= 0.2
 
 
+def test_op6_keys_against_plain_python(spark):
+    texts = [prose(i, 30) for i in range(40)] + ["### $$$", "", None, prose(0, 30)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    target = [0, 2, 4, 6]
+    got = resampling.keyed(df, resampling.models(df.withColumnRenamed("doc_id", "_id"), spark.createDataFrame([(i,) for i in target], "id long")), seed=5).collect()
+
+    def buckets(text):
+        h = [zlib.crc32(w.encode()) for w in (text or "").split()]
+        pairs = [(a * 0x9E3779B1 + b * 0x85EBCA6B & 0xFFFFFFFF) ^ 0x5BD1E995 for a, b in zip(h, h[1:], strict=False)]
+        return [x % 10_000 for x in h] + [(p ^ p >> 15) % 10_000 for p in pairs]
+
+    raw, good = np.ones(10_000), np.ones(10_000)
+    for i, t in rows:
+        for b in buckets(t):
+            raw[b] += 1
+            good[b] += i in target
+    ratio = np.log(good / good.sum()) - np.log(raw / raw.sum())
+    for r in got:
+        own = buckets(r.text)
+        assert r._n_grams == len(own)
+        if not own:
+            assert r._key is None and r._log_ratio is None
+            continue
+        u = (zlib.crc32(f"5|{r.doc_id}|{r.text}".encode()) + 0.5) / 2**32
+        assert r._log_ratio == pytest.approx(ratio[own].mean()) and r._key == pytest.approx(100 * ratio[own].mean() - np.log(-np.log(u)))
+
+
+def test_op6_draws_the_k_largest_keys(spark):
+    rows = [(i, prose(i, 20)) for i in range(60)] + [(7, prose(7, 20))] * 2  # repeated rows share their key
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("page no", F.lit(1))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    for k in (0, 1, 25, 500):
+        done = resampling.resample(df, labels, k=k).collect()
+        keys = sorted((r._key for r in done), reverse=True)
+        bar = keys[min(k, len(keys)) - 1] if k else np.inf
+        assert all(r._kept == (r._key >= bar) for r in done) and "page no" in done[0].asDict()
+    ratio, marks, least = resampling.drawn(df, labels)
+    assert marks.filter(F.col("_key") >= least).count() >= marks.count() // 3
+
+
 def test_op6_kth_largest(spark):
     df = spark.range(5000).select((F.pmod(F.col("id") * 7919, F.lit(5003)) / 3.0).alias("_key"))
     values = sorted((r[0] for r in df.collect()), reverse=True)
@@ -397,6 +474,64 @@ def test_op8_learns_and_rejects(spark):
     assert {r.lang_pred for r in language_id.identify(df.filter("lang is null")).collect()} == {"und"}
 
 
+def test_op8_number_signs_are_no_letters_and_any_columns(spark):
+    rows = [(i, ["the and with thing", "der und nicht schön"][i % 2], ["en", "de"][i % 2]) for i in range(60)] + [(900, "½ ² ①", "en"), (901, "ª", "en"), (902, "the " * 300_000, None), (902, "the " * 300_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("page no", F.lit(1)).withColumn("score", F.lit("z"))
+    network = language_id.fit(df, ~language_id.held_out())
+    got = language_id.predict(df.withColumnRenamed("score", "own"), network, more=["page no"]).collect()
+    by_id = collections.defaultdict(list)
+    for r in got:
+        by_id[r.doc_id].append((r.lang_pred, r.score))
+    assert by_id[900] == [("und", 0.0)] and by_id[901][0][0] != "und"
+    assert len(set(by_id[902])) == 1 and by_id[902][0][0] == "en" and len(by_id[902]) == 2
+
+
+def test_op8_forward_pass_against_plain_python(spark):
+    network = language_id.Network.fresh(["a", "b", "c"], seed=1)
+    rng = np.random.default_rng(2)
+    network.out[:] = rng.standard_normal(network.out.shape)
+    network.out_shift[:] = rng.standard_normal(3)
+    text = "Grüße aus dem Süden! " * 30  # more than one window, the last not full
+    data = text.encode()
+    logits, total = np.zeros(3), 0
+    for at in range(0, len(data), 256):
+        window = data[at : at + 256].ljust(256, b"\0")
+        hidden = []
+        for width, filters, shift in zip(language_id.WIDTHS, network.filters, network.shifts, strict=True):
+            seen = [np.concatenate([network.vectors[b] for b in window[i : i + width]]) @ filters for i in range(256 - width + 1)]
+            hidden += np.maximum(np.max(seen, axis=0) + shift, 0).tolist()
+        n = len(data[at : at + 256])
+        logits, total = logits + n * (np.array(hidden) @ network.out + network.out_shift), total + n
+    p = np.exp(logits / total - (logits / total).max())
+    p /= p.sum()
+    row = language_id.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), network).first()
+    assert row.lang_pred == "abc"[int(p.argmax())] and row.score == pytest.approx(p.max(), rel=1e-4)
+
+
+def test_op9_cut_and_broken_images(spark):
+    rng = random.Random(3)
+    whole = media.to_gif(rng.randbytes(64 * 5000))  # two frames
+    full = gif.read(whole)
+    assert len(full) == 2
+    for at in [*range(0, 900, 7), *range(len(whole) - 300, len(whole), 7), len(whole) // 2]:
+        got = gif.read(whole[:at])
+        assert len(got) <= 2 and all((a.picture == b.picture).all() for a, b in zip(got, full, strict=False))
+    for _ in range(60):
+        broken = bytearray(whole)
+        for _ in range(5):
+            broken[rng.randrange(len(broken))] = rng.randrange(256)
+        assert len(gif.read(bytes(broken))) <= 3000
+    df = spark.createDataFrame([(1, whole), (2, whole[:500]), (3, b"text"), (4, None)], "doc_id long, media binary")
+    assert collections.Counter(r.doc_id for r in media.read_media(df).collect()) == {1: 2}
+
+
+def test_op9_reads_the_stream_of_another_writer():
+    # fixed values: a picture of ten by ten pixels in four colours that is printed in the format's common tutorials
+    stream = bytes([0x8C, 0x2D, 0x99, 0x87, 0x2A, 0x1C, 0xDC, 0x33, 0xA0, 0x02, 0x75, 0xEC, 0x95, 0xFA, 0xA8, 0xDE, 0x60, 0x8C, 0x04, 0x91, 0x4C, 0x01])
+    rows = ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
+    assert gif.lzw_decode(stream, 2, 100) == bytes(int(c) for r in rows for c in r)
+
+
 def test_op9_round_trip(docs, empty):
     want = []
     for source in ROWS:
