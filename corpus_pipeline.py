@@ -1,7 +1,14 @@
 """A pipeline from raw documents to packed training windows.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next one's ``docs``.  All but the last keep the columns of ``documents``.
+written as Parquet and read again as the next one's ``docs``.  All but the last keep the columns of ``documents``, whatever
+their names and types, in their order.
+
+Defined cases, for all stages: an empty table gives an empty one; texts may have any length; nulls in other columns stay as they
+are.  A null or empty text has no letter, so the first stage rejects it; called on its own, the quality stage rejects it
+too, the near-duplicate and secret stages keep it as it is, and packing gives it the end id alone.  Rows with a null id are never
+near duplicates.  Of rows with one id and one text the first one by its JSON text stays; rows with one id and different
+texts share their document's fate.
 """
 
 from __future__ import annotations
@@ -45,10 +52,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group; documents without an id stay."""
     chosen = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.join(chosen, "doc_id", "left_semi")
+    stay = docs.join(chosen, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.select(*docs.columns).union(docs.filter("doc_id is null"))
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        first = stay.groupBy("doc_id", "text").agg(F.min_by(row.alias("row"), F.to_json(row)).alias("row"))
+        stay = first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return stay.union(docs.filter("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
