@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from atrium.llm.bpe_transducer import Transducer
 from atrium.llm.chunks import SpacedEncoder
 from atrium.llm.common import short_batches
+from atrium.llm.library_tokens import BYTE_LEVEL, STOPS
 
 _MADE: dict[str, tuple] = {}
 
@@ -37,8 +38,13 @@ def codec(ranks_file: bytes, pattern: str) -> tuple[SpacedEncoder, Transducer]:
     if key not in _MADE:
         machine, split = Transducer(read_ranks(ranks_file)), regex.compile(pattern)
 
+        words = pattern == BYTE_LEVEL  # the pattern under which a word and the sign after it are two pieces
+
         def encode(text: str) -> bytes:
-            if not (text[1:] if text[0] == " " else text).isalpha():
+            body = text[1:] if text[0] == " " else text
+            if not body.isalpha():
+                if words and body[-1:] in STOPS and body[:-1].isalpha():
+                    return (made.bare if body is text else made.spaced)[body[:-1]] + made.bare[body[-1]]
                 pieces = split.findall(text)
                 if len(pieces) > 1:
                     return b"".join(made.spaced[p[1:]] if p[0] == " " and len(p) > 1 else made.bare[p] for p in pieces)

@@ -8,10 +8,23 @@ versions of two libraries may differ), is encoded whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-_ODD = re.compile(r"\s\s|[^\n\x20-\x7e\xa1-\xac\xae-\xff]")
+#: Two white-space characters in a row, where only spaces and line feeds occur.
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
+
+
+def printable(text: str) -> bool:
+    """Whether all characters are printable ones of Latin-1."""
+    if not text.isprintable():
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Memory(dict):
@@ -49,7 +62,7 @@ class SpacedEncoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        if any(pair in text for pair in _DOUBLE) or not printable(text.replace("\n", "")):
             return self.whole(text)
         if self.feed is None:
             self.feed = self.bare["\n"]

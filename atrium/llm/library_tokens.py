@@ -9,17 +9,18 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from array import array
 from collections.abc import Callable
 
 import regex
 
-from atrium.llm.chunks import Memory, SpacedEncoder
+from atrium.llm.chunks import Memory, SpacedEncoder, printable
 
 _MADE: dict[str, Callable[[str], bytes]] = {}
-#: White space and characters on which libraries of any Unicode version agree.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
+#: White space beside the space on which libraries of any Unicode version agree.
+_FEEDS = str.maketrans("", "", "\t\n\r")
+#: Signs that often end a word; with one of them such a chunk is two pieces.
+STOPS = frozenset(",.!?;:")
 #: Fixed value: the split of byte-level tokenizers that name no pattern of their own.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -82,12 +83,15 @@ def encoder(json_file: bytes, words: bool) -> Callable[[str], bytes]:
         memory = Memory(chunk, 350_000)
 
         def encode(text: str) -> bytes:
-            return b"".join(map(memory.__getitem__, text.split())) if _PLAIN.fullmatch(text) else whole(text)
+            return b"".join(map(memory.__getitem__, text.split())) if printable(text.translate(_FEEDS)) else whole(text)
 
     else:
 
         def chunk(text: str) -> bytes:
-            if not (text[1:] if text[0] == " " else text).isalpha():
+            body = text[1:] if text[0] == " " else text
+            if not body.isalpha():
+                if body[-1:] in STOPS and body[:-1].isalpha():
+                    return (encode.bare if body is text else encode.spaced)[body[:-1]] + encode.bare[body[-1]]
                 parts = split.findall(text)
                 if len(parts) > 1:
                     return b"".join(encode.spaced[p[1:]] if p[0] == " " and len(p) > 1 else encode.bare[p] for p in parts)
