@@ -22,7 +22,7 @@ def localized(names: Column, name: Column, locale: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
-    """NFKC, but for runs of single Korean letters; for text beyond what ``normalized`` folds itself."""
+    """NFKC, but for runs of single Korean letters."""
     import re
     import unicodedata
 
@@ -30,8 +30,14 @@ def folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else keep.sub(lambda m: unicodedata.normalize("NFKC", m[0]), t))
 
 
+def fold(text: Column) -> Column:
+    """NFKC.  Only text with other characters than ASCII, Korean syllables and full-width ASCII leaves the JVM."""
+    plain = text.rlike(f"^[\\x00-\\x7f가-힣{WIDE[0]}-{WIDE[-2]}　]*$")
+    return F.coalesce(folded(F.when(~plain, text)), text)
+
+
 def normalized(text: Column) -> Column:
-    """Full-width forms narrowed, lower case, no blanks."""
+    """Full-width forms narrowed, lower case, no blanks; ``text`` is folded where it may hold other forms."""
     return F.regexp_replace(F.lower(F.translate(text, WIDE, NARROW)), r"\s+", "")
 
 

@@ -33,23 +33,27 @@ def split(strokes: DataFrame, least: float, auto: bool = True) -> DataFrame:
     return out.withColumn("part", F.when(heavy & (F.col("thickness_px") < F.col("dominant") * 0.5), "thin").otherwise("wall")).drop("dominant")
 
 
-def without_fringes(strokes: DataFrame, gap: float, band: float = 16.0) -> DataFrame:
+def without_fringes(strokes: DataFrame, gap: float, band: float = 8.0, piece: float = 64.0) -> DataFrame:
     """Strokes that do not run beside a longer one covering them.
 
-    Offsets are put into bands; a stroke looks into its own and both neighbouring bands, which reach
-    far enough as long as (thicknesses / 2 + gap + 1) does not exceed ``band``; the band grows with the thickest stroke.
+    Two keys make it an equi join.  A stroke stands in one band of offsets and, by its start, in one piece of the axis.  A
+    possible cover stands in all bands that it can reach, given its own thickness and the thickest stroke of its plan, and in all
+    pieces in which what it covers can start.  So a thick stroke widens the search of its own plan only.
     """
-    widest = strokes.agg(F.max("thickness_px")).first()[0] or 0.0
-    width = max(band, float(widest) + gap + 1)
     keys = ["plan_id", "orientation"]
-    cores = strokes.select(*keys, F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("offset_px") / width) + i)).alias("band"), F.col("stroke_id").alias("c_id"), F.col("offset_px").alias("c_off"), F.col("start_px").alias("c_start"), F.col("end_px").alias("c_end"), F.col("thickness_px").alias("c_thick"))
-    s = strokes.withColumn("band", F.floor(F.col("offset_px") / width))
+    widest = strokes.groupBy(*keys).agg(F.max("thickness_px").alias("widest"))
+    cores = strokes.join(widest, keys).withColumn("reach", (F.col("thickness_px") + F.col("widest")) / 2 + gap + 1)
+    span = lambda a, b, size: F.sequence(F.floor(a / size), F.floor(b / size))
+    cores = cores.withColumn("band", F.explode(span(F.col("offset_px") - F.col("reach"), F.col("offset_px") + F.col("reach"), band)))
+    cores = cores.withColumn("piece", F.explode(span(F.col("start_px") - gap, F.col("end_px") + gap, piece)))
+    cores = cores.select(*keys, "band", "piece", F.col("stroke_id").alias("c_id"), F.col("offset_px").alias("c_off"), F.col("start_px").alias("c_start"), F.col("end_px").alias("c_end"), F.col("thickness_px").alias("c_thick"))
+    s = strokes.withColumn("band", F.floor(F.col("offset_px") / band)).withColumn("piece", F.floor(F.col("start_px") / piece))
     covers = (
-        (s["plan_id"] == cores["plan_id"]) & (s["orientation"] == cores["orientation"]) & (s["band"] == cores["band"]) & (F.col("c_id") != F.col("stroke_id"))
+        (s["plan_id"] == cores["plan_id"]) & (s["orientation"] == cores["orientation"]) & (s["band"] == cores["band"]) & (s["piece"] == cores["piece"]) & (F.col("c_id") != F.col("stroke_id"))
         & (length("c_start", "c_end") > length()) & (F.col("c_start") <= F.col("start_px") + gap) & (F.col("c_end") >= F.col("end_px") - gap)
         & (F.abs(F.col("c_off") - F.col("offset_px")) <= (F.col("c_thick") + F.col("thickness_px")) / 2 + gap + 1)
     )
-    return s.join(cores, covers, "left_anti").drop("band")
+    return s.join(cores, covers, "left_anti").drop("band", "piece")
 
 
 def fused(strokes: DataFrame, gap: float) -> DataFrame:

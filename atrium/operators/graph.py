@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from atrium.functions import geom
+from atrium.operators import spatial
 
 #: Walking speed (m/s), storey height (m), and speed, wait and boarding time of each connector type.
 WALKING_SPEED, STOREY_HEIGHT = 1.2, 4.0
@@ -86,6 +87,40 @@ def site_edges(edges: DataFrame, site_nodes: DataFrame, nodes: DataFrame, floors
     return e.withColumn("distance", length).drop("ax", "ay", "aout", "bx", "by", "bout")
 
 
+def climb_footprints(entrances: DataFrame, spaces: DataFrame) -> DataFrame:
+    """plane_id, kind, ord, polygon: where one can only climb: the plans of stairs and escalators (turned rectangles), then stair rooms."""
+    e = entrances.filter(F.col("type").isin("stairs", "escalator"))
+    number = lambda name, default: F.coalesce(F.col(name).cast("double"), F.lit(default)) if name in e.columns else F.lit(default)
+    turn = F.radians(number("rotation", 0.0))
+    half = (number("depth", 4.0) / 2, number("width", 1.2) / 2)
+    corner = lambda a, b: F.struct((F.col("x") + F.cos(turn) * half[0] * a - F.sin(turn) * half[1] * b).alias("x"), (F.col("y") + F.sin(turn) * half[0] * a + F.cos(turn) * half[1] * b).alias("y"))
+    plans = e.select("plane_id", F.col("type").alias("kind"), F.struct(F.lit(0).alias("rank"), F.col("entrance_id").cast("long").alias("id")).alias("ord"), F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("polygon"))
+    rooms = spaces.filter((F.col("type") == "stairs") & (F.size("polygon") >= 3))
+    return plans.union(rooms.select("plane_id", F.lit("stairs"), F.struct(F.lit(1).alias("rank"), F.col("ord").cast("long").alias("id")), "polygon"))
+
+
+def climbing_edges(edges: DataFrame, nodes: DataFrame, footprints: DataFrame, every: float = 0.1) -> DataFrame:
+    """``edges`` with those walk edges that run through a footprint, or join two stair nodes, as stairs or escalator and not accessible.
+
+    An edge is looked at every ``every`` metres between its ends; the first place in a footprint decides, there the first footprint.
+    """
+    at = nodes.select("node_id", "plane_id", "x", "y", "type")
+    side = lambda n, end: at.select(F.col("node_id").alias(end), F.col("plane_id").alias(f"{n}plane"), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"), F.col("type").alias(f"{n}type"))
+    walks = edges.filter("type = 'walk'").select("edge_id", "plane_id", "from_id", "to_id").join(side("a", "from_id"), "from_id").join(side("b", "to_id"), "to_id")
+    stairs = walks.filter("atype = 'stairs' and btype = 'stairs'").select("edge_id", F.lit("stairs").alias("climb"), F.lit(0).alias("i"), F.lit(None).cast("struct<rank:int,id:bigint>").alias("ord"))
+    box = F.struct(F.least("ax", "bx").alias("x0"), F.least("ay", "by").alias("y0"), F.greatest("ax", "bx").alias("x1"), F.greatest("ay", "by").alias("y1"))
+    # an edge meets a footprint in the cells of both boxes; samples are made for such pairs only
+    pair = spatial.with_cells(walks, box).join(spatial.with_cells(footprints, geom.box(F.col("polygon"))), ["plane_id", "cx", "cy"]).dropDuplicates(["edge_id", "ord"])
+    steps = F.greatest(F.lit(2), F.ceil(geom.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) / every).cast("int"))
+    tried = pair.withColumn("steps", steps).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("steps") - 1)))
+    spot = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * (F.col("i") / F.col("steps"))
+    crossed = tried.filter(geom.inside(spot("ax", "bx"), spot("ay", "by"), F.col("polygon"))).select("edge_id", F.col("kind").alias("climb"), "i", "ord")
+    first = stairs.union(crossed).groupBy("edge_id").agg(F.min(F.struct("i", "ord", "climb")).alias("f")).select("edge_id", "f.climb")
+    out = edges.join(first, "edge_id", "left")
+    typed = {"type": F.coalesce("climb", "type"), "accessible": F.when(F.col("climb").isNotNull(), False).otherwise(F.col("accessible"))}
+    return out.withColumns(typed).drop("climb")
+
+
 EDGE = ["project_id", "edge_id", "from_id", "to_id", "type", "distance", "accessible", "one_way", "duration"]
 
 

@@ -30,8 +30,9 @@ def search(queries: DataFrame, places: DataFrame, limit: int = 20) -> DataFrame:
 
     The query table is broadcast by Spark where it is small; scores are computed once for each pair and only hits leave the join.
     """
-    asked = queries.withColumn("asked", text.normalized(F.col("text"))).filter("asked <> ''").select("query_id", "asked")
+    asked = queries.withColumn("asked", text.normalized(text.fold(F.col("text")))).filter("asked <> ''").select("query_id", "asked")
     best = F.array_max(F.transform("texts", lambda t: text.score(t, F.col("asked"))))
+    places = places.withColumn("texts", F.split(text.fold(F.array_join("texts", "\n")), "\n"))
     hit = places.join(asked, text.normalized(F.array_join("texts", "\n")).contains(F.col("asked")) | F.col("asked").rlike("^[ㄱ-ㅎ]+$")).withColumn("score", best).filter("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "kind", "id")
     return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "rank", "kind", "id", "score")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atrium.functions import geom
+from atrium.operators.routing import written
 
 CELL = 5.0
 EPSILON = 1e-9
@@ -42,12 +43,29 @@ def first_space(points: DataFrame, spaces: DataFrame, key: str, last: bool = Fal
     return containing(points, spaces).groupBy(key).agg(pick("space_id", F.struct("space_ord", "space_id")).alias("space_id"))
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """key, node_id, distance: the nearest node on the point's plane, the smallest id on ties."""
+def nearest_node(points: DataFrame, nodes: DataFrame, key: str, size: float = CELL, growth: float = 4.0, most: float = 5000.0) -> DataFrame:
+    """key, node_id, distance: the nearest node on the point's plane, the smallest id on ties.
+
+    A point looks into its own cell and the eight around it; what lies within a cell's width there is nearest.  Points
+    without such a node look again in wider cells, and only those that nothing is near up to ``most`` metres meet all nodes of their plane.
+    """
+    p = points.select(key, "plane_id", "x", "y")
     n = nodes.select("plane_id", "node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
     d = geom.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
-    best = points.join(n, "plane_id").groupBy(key).agg(F.min(F.struct(d.alias("distance"), "node_id")).alias("best"))
-    return best.select(key, F.col("best.node_id").alias("node_id"), F.col("best.distance").alias("distance"))
+    best = lambda pair: pair.groupBy(key).agg(F.min(F.struct(d.alias("distance"), "node_id")).alias("best"))
+    steps = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    found = None
+    while size <= most:
+        at = n.withColumn("i", steps).withColumn("j", steps).withColumn("cx", F.floor(F.col("nx") / size) + F.col("i")).withColumn("cy", F.floor(F.col("ny") / size) + F.col("j"))
+        near = written(best(at_cell(p, size).join(at, ["plane_id", "cx", "cy"])).filter(F.col("best.distance") <= size))
+        found = near if found is None else found.union(near)
+        p = written(p.join(near.select(key), key, "left_anti"))
+        if p.isEmpty():
+            break
+        size *= growth
+    else:
+        found = found.union(best(p.join(n, "plane_id")))
+    return found.select(key, F.col("best.node_id").alias("node_id"), F.col("best.distance").alias("distance"))
 
 
 def ring_edges(spaces: DataFrame) -> DataFrame:
@@ -136,15 +154,38 @@ def hole_problems(spaces: DataFrame) -> DataFrame:
     return h.select("space_id", "hole_no", problem.alias("problem")).filter("problem is not null")
 
 
+#: What stands for a missing or unusable size of a door or opening, and of a window (metres).
+OPENING = {"door": (0.9, 0.0, 2.1), "window": (1.2, 0.9, 1.2)}
+WALL_THICKNESS, WALL_HEIGHT = 0.2, 2.4
+
+
 def host_walls(openings: DataFrame, walls: DataFrame, slack: float = 0.2) -> DataFrame:
-    """entrance_id, wall_id, distance: the named wall where it exists, else the nearest within half its thickness and ``slack``."""
-    w = walls.select("plane_id", F.col("wall_id").alias("w_id"), "sx", "sy", "ex", "ey", "thickness")
-    box = F.struct(F.least("sx", "ex").alias("x0"), F.least("sy", "ey").alias("y0"), F.greatest("sx", "ex").alias("x1"), F.greatest("sy", "ey").alias("y1"))
+    """Doors, windows and openings with the wall that each cuts: entrance_id, wall_id, distance, from, to, bottom, top.
+
+    Candidates are the named wall, or all if none is named, within half their thickness and ``slack``; the nearest is
+    taken.  An opening without a candidate, or without an extent on its wall, has no row.
+    """
+    size = lambda c, default: F.when((c > 0) & ~F.isnan(c) & (c < float("inf")), c).otherwise(default)
+    column = lambda df, name: F.col(name).cast("double") if name in df.columns else F.lit(None).cast("double")
+    w = walls.select("plane_id", F.col("wall_id").alias("w_id"), "sx", "sy", "ex", "ey", size(F.col("thickness"), F.lit(WALL_THICKNESS)).alias("thick"), size(column(walls, "height"), F.lit(WALL_HEIGHT)).alias("wall_height"))
+    w = w.withColumn("reach", F.col("thick") / 2 + slack)
+    box = F.struct((F.least("sx", "ex") - F.col("reach")).alias("x0"), (F.least("sy", "ey") - F.col("reach")).alias("y0"), (F.greatest("sx", "ex") + F.col("reach")).alias("x1"), (F.greatest("sy", "ey") + F.col("reach")).alias("y1"))
+    o = openings.filter(F.col("type").isin("door", "window", "opening")) if "type" in openings.columns else openings.withColumn("type", F.lit("door"))
+    window = F.col("type") == "window"
+    of = lambda i: F.when(window, F.lit(OPENING["window"][i])).otherwise(F.lit(OPENING["door"][i]))
+    sill = column(o, "sill_height")
+    sill = F.when(window, F.greatest(F.lit(0.0), F.when(~F.isnan(sill) & (F.abs(sill) < float("inf")), sill).otherwise(of(1)))).otherwise(F.lit(0.0))
+    o = o.select("entrance_id", "plane_id", "wall_id", "x", "y", size(column(o, "width"), of(0)).alias("width"), sill.alias("sill"), size(column(o, "height"), of(2)).alias("tall"))
     d = geom.distance_to_segment(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"), F.col("ex"), F.col("ey"))
-    o = openings.select("entrance_id", "plane_id", "wall_id", "x", "y")
-    named = o.join(w, ["plane_id"]).filter(F.col("wall_id") == F.col("w_id")).select("entrance_id", "w_id", d.alias("distance"))
-    reach = 1.0 + slack
-    near = at_cell(o.join(named, "entrance_id", "left_anti")).join(with_cells(w, box, reach), ["plane_id", "cx", "cy"]).withColumn("distance", d)
-    near = near.filter(F.col("distance") <= F.col("thickness") / 2 + slack).select("entrance_id", "w_id", "distance")
-    best = named.union(near).groupBy("entrance_id").agg(F.min(F.struct("distance", "w_id")).alias("b"))
-    return best.select("entrance_id", F.col("b.w_id").alias("wall_id"), F.col("b.distance").alias("distance"))
+    near = at_cell(o).join(with_cells(w, box), ["plane_id", "cx", "cy"]).withColumn("distance", d)
+    near = near.filter((F.col("distance") <= F.col("reach")) & (F.col("wall_id").isNull() | (F.col("wall_id") == F.col("w_id"))))
+    dx, dy = F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy")
+    long = F.sqrt(dx * dx + dy * dy)
+    along = F.greatest(F.lit(0.0), F.least(long, ((F.col("x") - F.col("sx")) * dx + (F.col("y") - F.col("sy")) * dy) / F.when(long > 0, long)))
+    near = near.withColumn("long", long).withColumn("along", F.coalesce(along, F.lit(0.0)))
+    best = near.groupBy("entrance_id").agg(F.min(F.struct("distance", "w_id", "long", "along", "width", "sill", "tall", "wall_height")).alias("b")).select("entrance_id", "b.*")
+    cut = best.select(
+        "entrance_id", F.col("w_id").alias("wall_id"), "distance", F.greatest(F.lit(0.0), F.col("along") - F.col("width") / 2).alias("from"), F.least("long", F.col("along") + F.col("width") / 2).alias("to"),
+        F.col("sill").alias("bottom"), F.least("wall_height", F.col("sill") + F.col("tall")).alias("top"), "long",
+    )
+    return cut.filter((F.col("long") >= 0.01) & (F.col("top") > F.col("bottom")) & (F.col("to") - F.col("from") > 0.01)).drop("long")

@@ -137,11 +137,22 @@ def lonely_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return issue(crowd.join(used, "node_id", "left_anti"), "warning", "disconnected-navigation-node", "node_id")
 
 
-def unconnected_floors(floors: DataFrame, stops: DataFrame) -> DataFrame:
-    """Floors of buildings with two or more of which no connector with a second floor stops there."""
+def unconnected_floors(floors: DataFrame, stops: DataFrame, edges: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Floors of buildings with two or more that neither a connector with a second floor nor a stairs, elevator or escalator edge to a node elsewhere links."""
     many = floors.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("building_id"))).filter("n > 1")
-    joined = stops.withColumn("k", F.size(F.collect_set("plane_id").over(Window.partitionBy("connector_id")))).filter("k > 1")
-    return issue(many.join(joined.select("plane_id").distinct(), "plane_id", "left_anti"), "warning", "missing-floor-connection", "plane_id")
+    joined = stops.withColumn("k", F.size(F.collect_set("plane_id").over(Window.partitionBy("connector_id")))).filter("k > 1").select("plane_id")
+    if edges is not None:
+        at = nodes.select("node_id", "plane_id")
+        climbs = edges.filter(F.col("type").isin("stairs", "elevator", "escalator")).select("from_id", "to_id")
+        ends = climbs.join(at.toDF("from_id", "from_plane"), "from_id").join(at.toDF("to_id", "to_plane"), "to_id").filter("from_plane <> to_plane")
+        joined = joined.union(ends.select("from_plane")).union(ends.select("to_plane"))
+    return issue(many.join(joined.distinct(), "plane_id", "left_anti"), "warning", "missing-floor-connection", "plane_id")
+
+
+def stops_without_space(stops: DataFrame, floors: DataFrame, spaces: DataFrame) -> DataFrame:
+    """Stops that name a space (space_id) which is missing, on floors that are there."""
+    named = stops.filter("space_id is not null").join(floors.select("plane_id"), "plane_id", "left_semi")
+    return issue(named.join(spaces.select("space_id"), "space_id", "left_anti"), "warning", "connector-missing-space", "connector_id")
 
 
 def connector_stops(connectors: DataFrame, stops: DataFrame, floors: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atrium.functions import geom
 from atrium.operators import graph, routing
 from atrium.plans.registry import query
 from atrium.sources.campus import Campus
@@ -108,3 +109,26 @@ def n15_gate_to_poi_paths(c: Campus) -> DataFrame:
     settled = _settled(c)
     found = routing.routes(settled, goals)
     return routing.paths(settled, found).groupBy("query_id").agg(F.count(F.lit(1)).alias("nodes"), F.max("ord").alias("hops"))
+
+
+@query(""", e as (select entrance_id, floor_id, case entrance_id % 11 when 0 then 'stairs' else 'escalator' end kind, x, y, case when entrance_id % 2 = 0 then 2 else width/2 end hx, case when entrance_id % 2 = 0 then width/2 else 2 end hy from c_entrance where entrance_id % 11 in (0, 1)),
+ w as (select d.edge_id, d.floor_id, d.from_id, d.to_id, a.x ax, a.y ay, b.x bx, b.y by_ from c_nav_edge d join c_nav_node a on a.node_id = d.from_id join c_nav_node b on b.node_id = d.to_id),
+ n as (select *, unnest(generate_series(1, greatest(2, ceil(sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_))/0.1::double))::bigint - 1)) i, greatest(2, ceil(sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_))/0.1::double)) steps from w),
+ h as (select n.edge_id, e.kind, row_number() over (partition by n.edge_id order by n.i, e.entrance_id) k from n join e on e.floor_id = n.floor_id and abs(ax+(bx-ax)*(i/steps) - e.x) < hx and abs(ay+(by_-ay)*(i/steps) - e.y) < hy)
+select d.edge_id, case when d.from_id % 14 in (0, 1) and d.to_id % 14 in (0, 1) then 'stairs' else coalesce(h.kind, d.type) end type, d.accessible and not (d.from_id % 14 in (0, 1) and d.to_id % 14 in (0, 1)) and h.kind is null accessible
+ from c_nav_edge d left join h on h.edge_id = d.edge_id and h.k = 1""")
+def n3_climbing_edges(c: Campus) -> DataFrame:
+    """Every eleventh door is a staircase or an escalator, upright or turned, and every seventh room has stair nodes."""
+    n = F.col("entrance_id") % 11
+    climbs = c.entrances().filter(n < 2).withColumn("type", F.when(n == 0, "stairs").otherwise("escalator")).withColumn("rotation", (F.col("entrance_id") % 2) * 90)
+    nodes = c.nodes().withColumn("type", F.when(F.col("node_id") % 14 < 2, "stairs").otherwise(F.col("type")))
+    feet = graph.climb_footprints(climbs, c.spaces())
+    return graph.climbing_edges(c.edges(), nodes, feet).select("edge_id", "type", "accessible")
+
+
+@query(""", e as (select entrance_id, floor_id, x, y, 2.0::double hx, width/2 hy from c_entrance where entrance_id % 5 = 0)
+select floor_id plane_id, count(*) footprints, round(sum(4*hx*hy), 4) area, round(min(x - hx), 6) x0, round(max(y + hy), 6) y1 from e group by 1""")
+def n2_climb_footprints(c: Campus) -> DataFrame:
+    feet = graph.climb_footprints(c.entrances().filter("entrance_id % 5 = 0").withColumn("type", F.lit("stairs")), c.spaces())
+    box = geom.box(F.col("polygon"))
+    return feet.groupBy("plane_id").agg(F.count(F.lit(1)).alias("footprints"), F.round(F.sum(geom.signed_area(F.col("polygon"))), 4).alias("area"), r(F.min(box.x0)).alias("x0"), r(F.max(box.y1)).alias("y1"))

@@ -79,6 +79,28 @@ def t6_matched_rules(c: Campus) -> DataFrame:
     return rules.matched(e, rule).withColumn("ord", F.col("ord").cast("long"))
 
 
+STRICT = [
+    (10, "view", "k", "equals", "60"), (11, "view", "k", "equals", '"60"'), (12, "click", "k", "in", '[1, "2", true, 55]'), (13, "click", "k", "notIn", '[1, "2", true]'), (14, "click", "k", "notIn", '"2"'),
+    (15, "purchase", "a.k", "gt", "50"), (16, "purchase", "k", "lt", "20"), (17, "view", "k", "notEquals", "true"), (18, "view", "a.k", "equals", "7"), (19, "view", "k", "gt", '"50"'), (20, "click", "k", "between", "1"),
+]
+PAYLOADS = """case event_id % 5 when 0 then concat('{"k": ', event_id % 100, '}') when 1 then concat('{"k": "', event_id % 100, '"}') when 2 then concat('{"a": {"k": ', event_id % 100, '}}') when 3 then case when event_id % 2 = 0 then '{"k": true}' else '{"k": null}' end else '{}' end"""
+
+
+@query(f""", q as (select * from (values {", ".join(f"({i}, '{e}', '{f}', '{o}', '{v}')" for i, e, f, o, v in STRICT)}) q(rule_id, event, field, operator, value)),
+ p as (select event_id, event_type, cast({PAYLOADS} as json) payload from events),
+ m as (select p.event_id, q.rule_id, q.operator, json_extract(payload, '$.' || q.field) v, cast(q.value as json) w from p join q on q.event = p.event_type),
+ k as (select *, v is not null and json_type(v) = json_type(w) and cast(v as varchar) = cast(w as varchar) same, json_type(w) = 'ARRAY' listed, case when json_type(w) = 'ARRAY' then coalesce(list_contains(list_transform(json_extract(w, '$[*]'), lambda x: cast(x as varchar)), cast(v as varchar)), false) else false end inside,
+   json_type(v) = 'UBIGINT' and json_type(w) = 'UBIGINT' numbers from m)
+select event_id, rule_id from k where case operator when 'equals' then same when 'notEquals' then not same when 'in' then listed and inside when 'notIn' then listed and not inside
+ when 'gt' then numbers and try_cast(cast(v as varchar) as double) > try_cast(cast(w as varchar) as double) when 'lt' then numbers and try_cast(cast(v as varchar) as double) < try_cast(cast(w as varchar) as double) else false end""")
+def t6_strict_conditions(c: Campus) -> DataFrame:
+    """Payloads with numbers, strings, truth values, nulls, nested and missing fields."""
+    e = c.spark.read.parquet(f"{c.sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("event"), F.expr(PAYLOADS).alias("payload"))
+    cond = "array<struct<field:string,operator:string,value:string>>"
+    rule = c.spark.createDataFrame([(i, e_, [(f, o, v)], ["act"]) for i, e_, f, o, v in STRICT], f"rule_id int, event string, conditions {cond}, actions array<string>")
+    return rules.matched(e, rule).select("event_id", "rule_id")
+
+
 @query(""", t as (select plan_id, thickness_px, sum(end_px-start_px+1) n from c_stroke where thickness_px >= 2 and end_px-start_px+1 >= 2*thickness_px group by 1, 2),
  u as (select *, sum(n) over (partition by plan_id order by thickness_px desc) run, sum(n) over (partition by plan_id) total from t), d as (select plan_id, max(thickness_px) dominant from u where run >= total*0.3 group by 1)
 select s.plan_id, case when dominant >= 4 and thickness_px < dominant*0.5 then 'thin' else 'wall' end part, count(*) strokes, round(sum(end_px-start_px+1), 4) pixels

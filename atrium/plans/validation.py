@@ -98,7 +98,7 @@ def _every(c: Campus) -> list[DataFrame]:
     connectors = stops.select("connector_id").distinct()
     return [
         v.too_few_vertices(s), v.self_intersecting(s), v.bad_holes(s), v.unknown_type(s), v.overlaps(s), v.walls(w), v.dimensions(e), v.missing_hosts(e, w), v.above_walls(e, w), v.disconnected_entrances(e, s),
-        v.broken_edges(c.edges(), every_node), v.inaccurate_edges(c.edges(), n), v.duplicate_edges(c.edges()), v.lonely_nodes(n, _links(c)), v.unconnected_floors(c.floors(), c.stops()),
+        v.broken_edges(c.edges(), every_node), v.inaccurate_edges(c.edges(), n), v.duplicate_edges(c.edges()), v.lonely_nodes(n, _links(c)), v.unconnected_floors(c.floors(), c.stops(), c.edges(), c.nodes()),
         v.connector_stops(connectors, stops, c.floors(), n), v.broken_edges(c.site_edges(), every_node), v.duplicate_external_ids(_objects(c)), v.duplicate_floor_links(c.edges(), c.stops()),
     ]
 

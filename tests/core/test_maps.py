@@ -141,10 +141,11 @@ def test_guidance_stream_equals_batch(spark, tmp_path):
 def test_rules(spark):
     events = spark.createDataFrame([(1, "click", '{"k": 60, "p": {"s": "a"}}'), (2, "click", '{"k": "60"}'), (3, "view", "{}")], "event_id long, event string, payload string")
     cond = "array<struct<field:string,operator:string,value:string>>"
-    rows = [(1, "click", [("k", "gt", "50")], ["open"]), (2, "click", [("p.s", "in", "[a,b]")], ["x", "y"]), (3, "view", [], ["always"]), (4, "click", [("k", "between", "1")], ["never"]), (5, "click", [("k", "equals", "60")], ["strict"])]
+    rows = [(1, "click", [("k", "gt", "50")], ["open"]), (2, "click", [("p.s", "in", '["a", "b"]')], ["x", "y"]), (3, "view", [], ["always"]), (4, "click", [("k", "between", "1")], ["never"]), (5, "click", [("k", "equals", "60")], ["strict"])]
     table = spark.createDataFrame(rows, f"rule_id int, event string, conditions {cond}, actions array<string>")
     got = sorted((r.event_id, r.rule_id, r.ord, r.action) for r in rules.matched(events, table).collect())
-    assert (1, 1, 0, "open") in got and (3, 3, 0, "always") in got and (1, 2, 1, "y") in got and not [g for g in got if g[1] == 4]
+    assert [g for g in got if g[0] == 2] == []  # the string "60" is neither over 50 nor equal to 60
+    assert (1, 1, 0, "open") in got and (1, 5, 0, "strict") in got and (3, 3, 0, "always") in got and (1, 2, 1, "y") in got and not [g for g in got if g[1] == 4]
     bad = {(r.rule_id, r.problem) for r in rules.lint(table, ("click",), ("open", "x", "y", "strict", "never")).collect()}
     assert bad == {(3, "unknown event view"), (3, "unknown action"), (4, "unknown operator")}
 
