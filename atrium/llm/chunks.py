@@ -51,11 +51,14 @@ class Memory(dict):
 
 
 class SpacedEncoder:
-    """``encode`` gives the bytes of one chunk; ``whole`` those of any text."""
+    """``encode`` gives the bytes of one chunk; ``whole`` those of any text; ``spaced`` those of a chunk and the space before it.
 
-    def __init__(self, encode: Callable[[str], bytes], whole: Callable[[str], bytes], most: int = 220_000) -> None:
-        self.bare = Memory(encode, most // 4)
-        self.spaced = Memory(lambda c: encode(" " + c), most)
+    The memories hold ``most`` chunks in each generation, about 150 bytes for each.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], whole: Callable[[str], bytes], most: int = 600_000, spaced: Callable[[str], bytes] | None = None) -> None:
+        self.bare = Memory(encode, most // 8)
+        self.spaced = Memory(spaced or (lambda c: encode(" " + c)), most)
         self.whole = whole
         self.feed: bytes | None = None
 

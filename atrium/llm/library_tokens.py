@@ -97,6 +97,12 @@ def encoder(json_file: bytes, words: bool) -> Callable[[str], bytes]:
                     return b"".join(encode.spaced[p[1:]] if p[0] == " " and len(p) > 1 else encode.bare[p] for p in parts)
             return piece(text)
 
-        encode = SpacedEncoder(chunk, whole, 400_000)
+        def spaced(text: str) -> bytes:
+            """The ids of a chunk with the space before it."""
+            if text.isascii() and text.isalpha():  # one piece, and its letters stand for themselves
+                return array("I", [t.id for t in tokenize(space + text)]).tobytes()
+            return chunk(" " + text)
+
+        encode = SpacedEncoder(chunk, whole, 700_000, spaced)
     _MADE[key] = encode
     return encode

@@ -69,6 +69,7 @@ def encoded(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_c
         encode = encoder(model.value, False)
         end = np.array([end_id], "<u4").tobytes()
         total, row, kind = np.zeros(size, "int64"), TaskContext.get().partitionId() << 33, None
+        last = np.zeros(size, "int64")
         for batch in batches:
             ids, counts, ranges = [], [], []
             kind = batch.schema.field(0).type
@@ -77,16 +78,16 @@ def encoded(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_c
                 ids.append(own.astype(width).tobytes())
                 counts.append(len(own))
                 ranges.append(wording(own) % RANGES)
-                seen = np.zeros(size, bool)
-                seen[own] = True
-                total += seen
+                place = np.arange(len(own))
+                last[own] = place
+                total[own[last[own] == place]] += 1  # each distinct id at its last place
             n = batch.num_rows
             columns = [pa.array(np.arange(row, row + n)), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(ranges, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))]
             row += n
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
         if kind is not None:
-            last = [pa.nulls(1, kind), *[pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64())], pa.array([total.tolist()], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(last, names=names)
+            counted = [pa.nulls(1, kind), *[pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64())], pa.array([total.tolist()], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(counted, names=names)
 
     kinds = [df.schema[id_col].dataType, T.LongType(), T.BinaryType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType())]
     schema = T.StructType([T.StructField(name, kind) for name, kind in zip(names, kinds, strict=True)])

@@ -612,3 +612,13 @@ def test_op10_nulls_and_empty(spark, docs, empty):
     got = [r for r in near_dedup.near_duplicates(docs).collect() if r.doc_id is None]
     assert len(got) == 1 and got[0].component_id is None and got[0].kept
     assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_op3_frequencies_cover_all_rows(spark):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [(i, prose(i % 9, 40)) for i in range(40)] + [(50, None)]
+    table, _ = packing.encoded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), P.path("byte_bpe_50k.json"), 0, "doc_id", "text")
+    got = packing.inverse_frequencies(table, len(rows))
+    want = collections.Counter(t for _, text in rows for t in {*library.encode(text or "").ids, 0})
+    for t in [*want, 49_999]:
+        assert got[t] == pytest.approx(np.log1p((len(rows) - want[t] + 0.5) / (want[t] + 0.5)))
