@@ -189,3 +189,46 @@ def hull(points: Column) -> Column:
     lower, upper = chain(ordered), chain(F.reverse(ordered))
     both = F.concat(F.slice(lower, 1, F.size(lower) - 1), F.slice(upper, 1, F.size(upper) - 1))
     return F.when(F.size(ordered) < 3, ordered).otherwise(both)
+
+
+def pixel_to_world(px: Column, py: Column, ox: Column, oy: Column, metres_per_pixel: Column) -> Column:
+    """x, y of an image pixel; the origin is the image's upper left corner and rows run down."""
+    return F.struct((ox + px * metres_per_pixel).alias("x"), (oy - py * metres_per_pixel).alias("y"))
+
+
+def world_to_pixel(x: Column, y: Column, ox: Column, oy: Column, metres_per_pixel: Column) -> Column:
+    return F.struct(((x - ox) / metres_per_pixel).alias("x"), ((oy - y) / metres_per_pixel).alias("y"))
+
+
+def calibrated(ax: Column, ay: Column, bx: Column, by: Column, metres: Column, ox: Column, oy: Column, metres_per_pixel: Column) -> Column:
+    """ox, oy, metres_per_pixel after the two points are said to be ``metres`` apart; the first stays where it is.
+
+    Without a positive length, or with two equal points, nothing changes.
+    """
+    a = world_to_pixel(ax, ay, ox, oy, metres_per_pixel)
+    pixels = distance(ax, ay, bx, by) / metres_per_pixel
+    scale = F.when((metres > 0) & (pixels > 0), metres / F.when(pixels > 0, pixels))
+    moved = F.struct((ax - a.x * scale).alias("ox"), (ay + a.y * scale).alias("oy"), scale.alias("metres_per_pixel"))
+    return F.when(scale.isNotNull(), moved).otherwise(F.struct(ox.alias("ox"), oy.alias("oy"), metres_per_pixel.alias("metres_per_pixel")))
+
+
+def wall_panels(length: Column, height: Column, openings: Column) -> Column:
+    """What is solid of a wall: an array of from, to, bottom, top, given its openings (an array of the same).
+
+    The wall is cut into strips at the openings' ends; in each strip the openings are taken from below and what is
+    between them stays, sills and lintels too.
+    """
+    ends = F.concat(F.array(F.lit(0.0), length), F.transform(openings, lambda o: o["from"]), F.transform(openings, lambda o: o["to"]))
+    cuts = F.array_sort(F.array_distinct(ends))
+    strips = F.filter(F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: s.b - s.a >= 0.0001)
+    from_below = F.array_sort(F.transform(openings, lambda o: F.struct(o.bottom.alias("bottom"), o.top.alias("top"), o["from"].alias("a"), o["to"].alias("b"))))
+    panel = lambda s, low, high: F.struct(s.a.alias("from"), s.b.alias("to"), low.alias("bottom"), high.alias("top"))
+    none = F.array().cast("array<struct<from:double,to:double,bottom:double,top:double>>")
+
+    def of(s: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("cursor"), none.alias("out"))
+        step = lambda c, o: F.struct(F.greatest(c["cursor"], o.top).alias("cursor"), F.when(o.bottom > c["cursor"], F.array_append(c["out"], panel(s, c["cursor"], o.bottom))).otherwise(c["out"]).alias("out"))
+        last = lambda c: F.when(c["cursor"] < height, F.array_append(c["out"], panel(s, c["cursor"], height))).otherwise(c["out"])
+        return F.aggregate(F.filter(from_below, lambda o: (o.a < s.b) & (o.b > s.a)), start, step, last)
+
+    return F.flatten(F.transform(strips, of))

@@ -73,3 +73,14 @@ def relationships(stops: DataFrame) -> DataFrame:
     lift = line.filter("type = 'elevator'").select("connector_id", "type", F.get("nodes", F.lit(0)).alias("origin"), F.slice("nodes", 2, F.size("nodes") - 2).alias("between"), F.element_at("nodes", -1).alias("destination"))
     other = line.filter("type <> 'elevator'").select("connector_id", "type", F.explode(F.zip_with(F.slice("nodes", 1, F.size("nodes") - 1), F.slice("nodes", 2, F.size("nodes") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
     return lift.union(other.select("connector_id", "type", "p.a", F.slice(F.array("p.a"), 1, 0), "p.b"))
+
+
+def navigation_features(nodes: DataFrame, edges: DataFrame, lookup: DataFrame) -> DataFrame:
+    """kind, id, plane_id, feature of nodes (points) and edges (lines).  ``lookup`` (node_id, x, y) has the ends; an edge without both is left out."""
+    at = geometry("Point", F.array("x", "y"))
+    points = feature(nodes, "navigationNode", "node_id", at, F.struct(F.lit("navigationNode").alias("kind"), F.col("node_id").cast("string").alias("id"), F.col("type").alias("nodeType")))
+    side = lambda n, end: lookup.select(F.col("node_id").alias(end), F.array("x", "y").alias(n))
+    lines = edges.join(side("a", "from_id"), "from_id").join(side("b", "to_id"), "to_id")
+    one_way = F.when(F.col("one_way"), F.lit(True)).alias("oneWay")  # absent where it is not so
+    about = F.struct(F.lit("navigationEdge").alias("kind"), F.col("edge_id").cast("string").alias("id"), F.col("type").alias("edgeType"), "distance", "accessible", one_way)
+    return points.unionByName(feature(lines, "navigationEdge", "edge_id", geometry("LineString", F.array("a", "b")), about))

@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from atrium.plans import geometry, graph, jobs, more, places, validation  # noqa: E402, F401
+from atrium.plans import geometry, graph, jobs, more, places, rows, validation  # noqa: E402, F401
