@@ -84,3 +84,17 @@ def navigation_features(nodes: DataFrame, edges: DataFrame, lookup: DataFrame) -
     one_way = F.when(F.col("one_way"), F.lit(True)).alias("oneWay")  # absent where it is not so
     about = F.struct(F.lit("navigationEdge").alias("kind"), F.col("edge_id").cast("string").alias("id"), F.col("type").alias("edgeType"), "distance", "accessible", one_way)
     return points.unionByName(feature(lines, "navigationEdge", "edge_id", geometry("LineString", F.array("a", "b")), about))
+
+
+def placed(points: DataFrame, floors: DataFrame, sites: DataFrame, mode: str = "auto") -> DataFrame:
+    """``points`` (plane_id, x, y) with ``coordinates`` by ``mode``: local, site, wgs84, or auto (wgs84 with a geographic anchor, else site).
+
+    ``floors``: plane_id, project_id, ox, oy, bearing; ``sites``: project_id, lon, lat (null: no anchor).  Without an anchor wgs84 is
+    refused: ``coordinates`` is null and ``refused`` true.
+    """
+    df = points.join(floors.select("plane_id", "project_id", "ox", "oy", "bearing"), "plane_id").join(sites.select("project_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat")), "project_id")
+    df = df.withColumn("_s", geom.to_site(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"), F.col("bearing")))
+    df = df.withColumn("_g", geom.to_lng_lat(F.col("_s.x"), F.col("_s.y"), F.col("_lon"), F.col("_lat")))
+    local, site, globe = F.array("x", "y"), F.array("_s.x", "_s.y"), F.when(F.col("_g").isNotNull(), F.array("_g.lon", "_g.lat"))
+    out = {"local": local, "site": site, "wgs84": globe, "auto": F.coalesce(globe, site)}[mode]
+    return df.withColumn("coordinates", out).withColumn("refused", out.isNull()).drop("_s", "_g", "_lon", "_lat", "ox", "oy", "bearing", "project_id")

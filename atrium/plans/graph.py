@@ -35,7 +35,8 @@ def _stops(c: Campus) -> DataFrame:
 
 def edges(c: Campus) -> DataFrame:
     outdoor = graph.site_edges(c.site_edges(), c.site_nodes(), c.nodes(), c.floors())
-    return graph.routing_graph(c.edges(), outdoor, graph.connector_edges(_stops(c)))
+    walks = graph.climbing_edges(c.edges(), c.nodes(), graph.climb_footprints(c.entrances(), c.spaces()))
+    return graph.routing_graph(walks, outdoor, graph.connector_edges(_stops(c)))
 
 
 def _nodes(c: Campus) -> DataFrame:

@@ -67,3 +67,13 @@ def p9_route_choices(c: Campus) -> DataFrame:
     rooms = c.spaces().filter("coalesce(trim(name), '') <> ''").select(F.lit("space"), "space_id", "name")
     nodes = c.nodes().select(F.lit("node"), "node_id", F.concat_ws(" / ", F.concat_ws(" ", "type", "node_id"), F.col("plane_id").cast("string")))
     return pois.union(rooms).union(nodes).filter(F.contains(F.lower("label"), F.lit("an")))
+
+
+@query(""", s as (select p.poi_id, b.ox + p.x*cos(radians(b.bearing)) + p.y*sin(radians(b.bearing)) x, b.oy - p.x*sin(radians(b.bearing)) + p.y*cos(radians(b.bearing)) y, t.lon, t.lat, 1 - 6.69437999014e-3*sin(radians(t.lat))*sin(radians(t.lat)) w
+   from c_poi p join c_floor f using (floor_id) join c_building b on b.building_id = f.building_id join c_site t on t.project_id = b.project_id)
+select poi_id, 'wgs84' as mode, lon is null refused, round(lon + degrees(x/(6378137.0/sqrt(w)*cos(radians(lat)))), 6) a, round(lat + degrees(y/(6378137.0*(1-6.69437999014e-3)/(w*sqrt(w)))), 6) b from s union all
+select poi_id, 'auto', false, round(coalesce(lon + degrees(x/(6378137.0/sqrt(w)*cos(radians(lat)))), x), 6), round(coalesce(lat + degrees(y/(6378137.0*(1-6.69437999014e-3)/(w*sqrt(w)))), y), 6) from s""")
+def x1_coordinate_modes(c: Campus) -> DataFrame:
+    """POIs on the globe and in the mode that suits their project; one project has no anchor."""
+    of = lambda mode: export.placed(c.pois(), c.floors(), c.view("c_site"), mode).select("poi_id", F.lit(mode).alias("mode"), "refused", r(F.get("coordinates", F.lit(0))).alias("a"), r(F.get("coordinates", F.lit(1))).alias("b"))
+    return of("wgs84").union(of("auto"))
