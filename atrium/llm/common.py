@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ BATCH_ROWS = 256
 def scratch(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (as in tests) a temporary folder takes its place.
+    Where the setting is absent and Spark runs in one process (as in tests) a temporary folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-atrium-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
