@@ -7,6 +7,7 @@ improves; weights are not negative, so there are at most as many as nodes.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ STATE = ["search_id", "node", "weight", "hops", "prev_node", "prev_edge", "metre
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset and Spark runs in one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-atrium-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

@@ -98,7 +98,7 @@ def test_path_walk_back(spark):
 
 
 def test_search_scores(spark):
-    df = spark.createDataFrame([("스타벅스 커피", "스타벅스커피"), ("스타벅스 커피", "스타"), ("스타벅스 커피", "커피"), ("스타벅스 커피", "벅스"), ("스타벅스 커피", "ㅅㅌㅂ"), ("Starbucks Coffee", "tea"), ("ＡＢＣ", "abc"), (None, "x"), ("", "x")], "c string, q string")
+    df = spark.createDataFrame([("바다도서관 열람실", "바다도서관열람실"), ("바다도서관 열람실", "바다"), ("바다도서관 열람실", "열람"), ("바다도서관 열람실", "도서"), ("바다도서관 열람실", "ㅂㄷㄷ"), ("Sea Library", "gym"), ("ＡＢＣ", "abc"), (None, "x"), ("", "x")], "c string, q string")
     assert [r[0] for r in df.select(text.score(F.col("c"), F.col("q"))).collect()] == [100, 80, 60, 40, 30, 0, 100, 0, 0]
     names = spark.createDataFrame([({"ko": "가", "en": ""}, "plain")], "n map<string,string>, m string")
     assert tuple(names.select(*[text.localized(F.col("n"), F.col("m"), F.lit(t)) for t in ("ko-KR", "ko", "en", "fr")]).first()) == ("가", "가", "plain", "plain")
