@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from atrium.functions import geom
 
 #: IMDF categories of room types.
-UNIT_CATEGORY = {"room": "room", "corridor": "walkway", "store": "unspecified", "stairs": "stairs", "elevator": "elevator", "restroom": "restroom", "outdoor": "unspecified", "unknown": "unspecified"}
+UNIT_CATEGORY = {"room": "room", "store": "room", "corridor": "walkway", "lobby": "lobby", "stairs": "stairs", "elevator": "elevator", "restricted": "nonpublic", "unknown": "unspecified"}
 
 
 def uuid_of(*seed: Column) -> Column:

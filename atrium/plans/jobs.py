@@ -134,7 +134,7 @@ def x3_geojson_features(c: Campus) -> DataFrame:
     return made.filter(F.get_json_object("feature", "$.geometry.type").isNotNull()).groupBy("kind").agg(F.count(F.lit(1)).alias("features"))
 
 
-@query("""select category, count(*) units, count(distinct floor_id) levels from (select floor_id, case type when 'room' then 'room' when 'corridor' then 'walkway' else 'unspecified' end category from c_space) group by 1""")
+@query("""select category, count(*) units, count(distinct floor_id) levels from (select floor_id, case type when 'room' then 'room' when 'store' then 'room' when 'corridor' then 'walkway' else 'unspecified' end category from c_space) group by 1""")
 def m6_imdf_units(c: Campus) -> DataFrame:
     level = export.levels(c.floors(), c.spaces()).filter("not empty")
     return export.units(c.spaces(), level).groupBy("category").agg(F.count(F.lit(1)).alias("units"), F.countDistinct("level_id").alias("levels"))
