@@ -71,3 +71,13 @@ def new_groups(asked: DataFrame, members: DataFrame) -> DataFrame:
     taken = members.select("member_id").union(members.select("group_id")).distinct()
     free = asked.join(taken, "member_id", "left_anti")
     return free.groupBy("group_id").agg(F.array_sort(F.collect_set("member_id")).alias("members")).filter(F.size("members") >= 2)
+
+
+def without_stops(stops: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stops at none of ``nodes`` (node_id)."""
+    return stops.join(nodes.select("node_id").distinct(), "node_id", "left_anti")
+
+
+def ungrouped(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members (group_id, member_id) of the groups that are not in ``groups`` (group_id); the members themselves stay on the map."""
+    return members.join(groups.select("group_id").distinct(), "group_id", "left_anti")

@@ -54,3 +54,18 @@ def in_window(rings: DataFrame, windows: DataFrame) -> DataFrame:
     some = F.exists("polygon", lambda p: p.x.between(F.col("wx0"), F.col("wx1")) & p.y.between(F.col("wy0"), F.col("wy1")))
     meets = F.exists(geom.edges(F.col("polygon")), lambda e: F.exists(geom.edges(frame), lambda f: geom.crossing(e.a, e.b, f.a, f.b).isNotNull()))
     return b.withColumn("mode", F.when(inner, "window").when(some | meets, "crossing")).filter("mode is not null").select("window_id", "id", "mode")
+
+
+def object_kinds(tables: dict[str, tuple[DataFrame, str]], asked: DataFrame) -> DataFrame:
+    """id, kind, plane_id of each asked id (``id``): ``tables`` maps a kind to its table and key; ids that nothing has keep null kinds."""
+    index = None
+    for kind, (df, key) in tables.items():
+        own = df.select(F.col(key).cast("string").alias("id"), F.lit(kind).alias("kind"), "plane_id")
+        index = own if index is None else index.union(own)
+    return asked.select(F.col("id").cast("string")).distinct().join(index, "id", "left")
+
+
+def group_of(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, group_id: the first group (by ``ord``, then id) that has each asked id as a member; ids in no group have no row."""
+    at = members.select(F.col("member_id").alias("id"), "group_id", "ord")
+    return asked.select("id").distinct().join(at, "id").groupBy("id").agg(F.min_by("group_id", F.struct("ord", "group_id")).alias("group_id"))

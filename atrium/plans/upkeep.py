@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atrium.operators import bulk
+from atrium.operators import bulk, places
 from atrium.operators import graph as net
 from atrium.plans.graph import SITE
 from atrium.plans.registry import query
@@ -119,3 +119,15 @@ def s17_defaults(c: Campus) -> DataFrame:
     out = walls.select(F.col("wall_id").alias("id"), F.lit("wall").alias("kind"), F.col("thickness").alias("value"))
     out = out.union(stops.select(F.col("connector_id") * 10 + F.col("level"), F.lit("connector"), F.col("accessible").cast("double")))
     return out.union(spaces.select("space_id", F.lit("space"), "height"))
+
+
+@query(""", i as (select 's' || space_id id, 'space' kind, floor_id from c_space union all select 'p' || poi_id, 'poi', floor_id from c_poi union all select 'n' || node_id, 'node', floor_id from c_nav_node),
+ a as (select 's' || o_custkey id from orders union select 'p' || o_custkey from orders union select 'n' || (o_custkey * 3) from orders)
+select id, kind, floor_id plane_id from a left join i using (id)""")
+def p11_object_kinds(c: Campus) -> DataFrame:
+    """Ids named by trips, of which some exist."""
+    tag = lambda df, key, letter: df.withColumn("_id", F.concat(F.lit(letter), key))
+    tables = {"space": (tag(c.spaces(), "space_id", "s"), "_id"), "poi": (tag(c.pois(), "poi_id", "p"), "_id"), "node": (tag(c.nodes(), "node_id", "n"), "_id")}
+    k = F.col("from_poi")
+    asked = c.view("c_trip").select(F.explode(F.array(F.concat(F.lit("s"), k), F.concat(F.lit("p"), k), F.concat(F.lit("n"), k * 3))).alias("id"))
+    return places.object_kinds(tables, asked)

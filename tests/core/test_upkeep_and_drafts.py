@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from atrium.operators import bulk, imdf, joints, score
+from atrium.operators import bulk, imdf, joints, maintain, places, score
 
 
 def test_matched_points_walk_the_truth_in_order(spark):
@@ -79,3 +79,12 @@ def test_accepted_flags_and_defaults(spark):
     assert sorted(tuple(r) for r in bulk.accepted(entries, ids).collect()) == [(1, False), (2, True), (3, True)]
     stops = spark.createDataFrame([("ramp", None), ("stairs", True), ("stairs", None)], "type string, accessible boolean")
     assert [r.accessible for r in bulk.with_defaults(stops, "connector").collect()] == [True, True, False]
+
+
+def test_groups_stops_and_kinds(spark):
+    members = spark.createDataFrame([(1, "a", 2), (2, "a", 1), (2, "b", 1)], "group_id int, member_id string, ord int")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    assert {(r.id, r.group_id) for r in places.group_of(members, asked).collect()} == {("a", 2), ("b", 2)}
+    assert [r.group_id for r in maintain.ungrouped(members, spark.createDataFrame([(2,)], "group_id int")).collect()] == [1]
+    stops = spark.createDataFrame([(1, 10), (1, 11)], "connector_id int, node_id int")
+    assert [r.node_id for r in maintain.without_stops(stops, spark.createDataFrame([(10,)], "node_id int")).collect()] == [11]
