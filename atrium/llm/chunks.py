@@ -27,6 +27,11 @@ def printable(text: str) -> bool:
     return True
 
 
+def has_double(text: str) -> bool:
+    """Whether two white-space characters stand in a row."""
+    return any(pair in text for pair in _DOUBLE)
+
+
 class Memory(dict):
     """chunk -> encoded bytes, in two generations: the older one goes when the newer has ``most`` entries.
 
@@ -65,7 +70,7 @@ class SpacedEncoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(pair in text for pair in _DOUBLE) or not printable(text.replace("\n", "")):
+        if has_double(text) or not printable(text.replace("\n", "")):
             return self.whole(text)
         if self.feed is None:
             self.feed = self.bare["\n"]

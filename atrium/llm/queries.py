@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import byte_bpe, language_id, media, near_dedup, one_bit_search, packing, prefix_trie, resampling, secrets, sharding, speculative_bpe, token_table
+from atrium.llm import alignment, byte_bpe, language_id, media, near_dedup, one_bit_search, packing, prefix_trie, resampling, secrets, sharding, speculative_bpe, token_table
 from atrium.llm.common import documents
 
 
@@ -58,6 +58,10 @@ def op12_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speculative_bpe.encode_column(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: Prefixes are told by the MD5 sums of their turns; crc goes through the digits of an id bit by bit (3988292384: the polynomial of CRC-32).
 _TRIE_SQL = r"""
 WITH RECURSIVE t AS (SELECT conv_id AS c, turn, md5(strlen(coalesce(role, '')) || '|' || coalesce(role, '') || coalesce(text, '')) AS m,
@@ -82,5 +86,5 @@ SELECT f.c AS conv_id, f.d::BIGINT AS depth, f.pc AS parent_conv_id, f.n AS n_co
 FROM full_node f JOIN below b ON b.d = f.d AND b.k = f.k LEFT JOIN ended e ON e.d = f.d AND e.k = f.k
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_one_bit_search, op3_retrieval_packing, op4_secret_scan, op5_hypergeometric_shards, op6_importance_resampling, op7_token_table, op8_byte_cnn_language, op9_gif_media, op10_near_duplicates, op11_prefix_trie, op12_speculative_bpe)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_one_bit_search, op3_retrieval_packing, op4_secret_scan, op5_hypergeometric_shards, op6_importance_resampling, op7_token_table, op8_byte_cnn_language, op9_gif_media, op10_near_duplicates, op11_prefix_trie, op12_speculative_bpe, op13_token_alignment)}
 ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": _TRIE_SQL}

@@ -37,9 +37,8 @@ from pyspark.sql import types as T
 from atrium.llm.chunks import printable
 from atrium.llm.common import short_batches
 from atrium.llm.library_tokens import byte_letters, read_tokenizer
+from atrium.llm.remembered import LONGEST, Remembered
 
-#: Longer words and chunks are not remembered beyond their batch.
-LONGEST = 48
 NEVER = np.int64(1) << 40
 _MADE: dict[str, Words] = {}
 
@@ -198,24 +197,6 @@ class Merges:
         return found, len(exact)
 
 
-class Remembered(dict):
-    """key -> value in two generations of ``most`` keys; ``pending`` says which of the asked keys are in neither."""
-
-    def __init__(self, most: int) -> None:
-        super().__init__()
-        self.most, self.older = most, {}
-
-    def pending(self, keys: set[str]) -> list[str]:
-        if len(self) > self.most:
-            self.older = {k: v for k, v in self.items() if len(k) <= LONGEST}
-            self.clear()
-        asked = keys.difference(self)
-        older = self.older
-        both = asked.intersection(older)
-        self.update((k, older[k]) for k in both)
-        return list(asked - both)
-
-
 class Words:
     """A tokenizer file of lower-cased words: normaliser, split, byte letters, merges with a word-end sign, no decoder."""
 
