@@ -7,7 +7,7 @@ bytes, so every byte counts.  Training uses windows of a bounded sample of label
 of their texts by hash.
 
 Defined cases: text that is null or has no letter is "und" with score 0, and so is everything if there are no
-labelled rows; rows without a language are not learned from; every row of the input gives a row, repeated rows the same one; equal
+labelled rows; rows without a language are not learned from; every row of the input gives a row, and equal texts the same label and score to the last bit, whatever their neighbours; equal
 logits go to the language that is first by name; an empty table gives no row; a text of any length is cut into windows whole, and its
 windows are looked at 64 at a time; only the id, the text and the columns asked for are read, whatever the names of others.
 """
@@ -57,21 +57,34 @@ class Network:
         size = filters * len(WIDTHS)
         return cls(labels, vectors, made, [np.zeros(filters, "float32") for _ in WIDTHS], np.zeros((size, len(labels)), "float32"), np.zeros(len(labels), "float32"))
 
-    def pooled(self, windows: np.ndarray) -> np.ndarray:
-        """The filters' maxima over each window, for at most a few hundred windows at once (memory stays in cache)."""
-        parts = []
+    def responses(self) -> list[list[np.ndarray]]:
+        """For each width and place within it, what each of the 256 bytes adds to each filter."""
+        d = self.vectors.shape[1]
+        return [[self.vectors @ f[o * d : (o + 1) * d] for o in range(w)] for w, f in zip(WIDTHS, self.filters, strict=True)]
+
+    def pooled(self, windows: np.ndarray, responses: list[list[np.ndarray]] | None = None) -> np.ndarray:
+        """The filters' maxima over each window, 64 windows at a time (memory stays in cache).
+
+        Every number is a sum of table entries in a fixed order, so a window's are the same to the last bit whatever stands beside it;
+        products of matrices would round by the shape of the block.
+        """
+        responses, parts = responses or self.responses(), []
         for i in range(0, len(windows), 64):
-            x = self.vectors[windows[i : i + 64]]
-            row = []
-            for w, filters, shift in zip(WIDTHS, self.filters, self.shifts, strict=True):
-                cols = _columns(x, w)
-                z = cols.reshape(-1, cols.shape[2]) @ filters
-                row.append(np.maximum(z.reshape(cols.shape[0], cols.shape[1], -1).max(axis=1) + shift, 0))
+            codes, row = windows[i : i + 64].astype("intp"), []
+            for tables, shift in zip(responses, self.shifts, strict=True):
+                n = codes.shape[1] - len(tables) + 1
+                z = np.take(tables[0], codes[:, :n], axis=0)
+                for o in range(1, len(tables)):
+                    z += np.take(tables[o], codes[:, o : o + n], axis=0)
+                row.append(np.maximum(z.max(axis=1) + shift, 0))
             parts.append(np.concatenate(row, axis=1))
         return np.concatenate(parts) if parts else np.zeros((0, len(self.out)), "float32")
 
-    def logits(self, windows: np.ndarray) -> np.ndarray:
-        return self.pooled(windows) @ self.out + self.out_shift
+    def logits(self, windows: np.ndarray, responses: list[list[np.ndarray]] | None = None) -> np.ndarray:
+        total = np.zeros((len(windows), len(self.labels)), "float32")
+        for hidden, weights in zip(self.pooled(windows, responses).T, self.out, strict=True):  # in this order for every window
+            total += hidden[:, None] * weights
+        return total + self.out_shift
 
     def train(self, windows: np.ndarray, truth: np.ndarray, epochs: int = 4, least_steps: int = 600, batch: int = 64, rate: float = 0.01, seed: int = 4) -> None:
         """Adam on the softmax loss; only the places of the maxima have a gradient."""
@@ -144,6 +157,7 @@ def predict(df: DataFrame, network: Network | None, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
+        responses = net.responses() if net is not None else None
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             known = [i for i, t in enumerate(texts) if net is not None and t and _LETTER.search(t)]
@@ -154,7 +168,7 @@ def predict(df: DataFrame, network: Network | None, id_col: str = "doc_id", text
                 cut = [windows_of(d) for d in data]
                 doc = np.repeat(np.arange(len(own)), [len(c) for c in cut])
                 weight = np.concatenate([np.r_[np.full(len(c) - 1, WINDOW), len(d) - WINDOW * (len(c) - 1)] for c, d in zip(cut, data, strict=True)])
-                logits = net.logits(np.concatenate(cut))
+                logits = net.logits(np.concatenate(cut), responses)
                 mean = np.stack([np.bincount(doc, logits[:, j] * weight, len(own)) for j in range(len(net.labels))], axis=1) / np.bincount(doc, weight)[:, None]
                 p = np.exp(mean - mean.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
