@@ -10,10 +10,12 @@ drown the Gumbel noise and let length decide; this way every text counts as one
 
 Counts have a fixed number of buckets, so the models have a fixed size at any scale.  The raw counts cover
 all rows; the target comes from at most ``most_labelled`` labelled rows (those of smallest hash), whose ids are
-broadcast.  ``k`` may be given; else it is the number of documents whose key reaches a bar.  One half of the
-labelled good rows makes the target; the other half, and as many labelled bad ones (quality 0) at most, set the bar where the fewest
-labels are decided wrongly.  Toxic rows are in neither half.  Then the ``k`` largest keys (weight and noise) of the whole
-table are drawn.  The noise is a hash of id and text, so a rerun draws the same.
+broadcast.  ``k`` may be given; else it is the estimated number of good documents in the whole table.  One half of the
+labelled good rows makes the target; the other half, and as many labelled bad ones (quality 0) at most, say how many good and how many
+bad documents reach a test bar (the one at which the fewest labels are decided wrongly).  From these two rates and the share of all rows that
+reach it follows the share of good rows, whatever the mix of the labels is: an adjusted count, share = (reached - bad rate) / (good rate - bad
+rate), where up to three in a hundred labels of a kind may be wrong.  Toxic rows are in neither half.  Then the ``k`` largest keys (weight and noise) of the whole
+table are drawn; where the draw ends is what the keys give.  The noise is a hash of id and text, so a rerun draws the same.
 
 The mean over n-grams sees what a text is made of, not a few words in it: a toxic text that is good otherwise (about
 five insult words) has nearly the weight of a clean one and is kept.
@@ -144,6 +146,17 @@ def best_bar(good: np.ndarray, bad: np.ndarray, weight: float = 1.0) -> float:
     return float((first + below.max()) / 2 if len(below) else first)
 
 
+def good_rows(every: int, reached: int, good: np.ndarray, bad: np.ndarray, noise: float = 0.03) -> int:
+    """How many of ``every`` rows are good, if so many ``reached`` a bar that held-out ``good`` and ``bad`` ones reached or not.
+
+    Of the labels of each kind a share of ``noise`` may be wrong: so many misses, and so many false hits, are put down to the labels.
+    """
+    hit, false_hit = min(1.0, float(good.mean()) + noise), max(0.0, float(bad.mean()) - noise) if len(bad) else 0.0
+    if hit <= false_hit:
+        return reached
+    return round(every * min(1.0, max(0.0, (reached / max(every, 1) - false_hit) / (hit - false_hit))))
+
+
 def drawn(df: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = 20_000, loss: float = 0.002, seed: int = 0) -> tuple[np.ndarray, DataFrame, float | None]:
     """The log ratios, the rows' numbers (_id, _n_grams, _log_ratio, _key), and the ``k``-th largest key (None: no row is drawn).
 
@@ -171,7 +184,8 @@ def drawn(df: DataFrame, labels: DataFrame, k: int | None = None, id_col: str =
             all_of = {r.quality: r.n for r in known.filter("quality = 0 or toxic = 0").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
             asked_of = {r.good: r.n for r in asked.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
             bar = best_bar(keys[True], keys[False], all_of[0] / asked_of[False] / (all_of[1] / asked_of[True]))
-        k = marks.filter(F.col("_key").isNotNull() if bar is None else F.col("_key") >= bar).count()
+        every, reached = marks.agg(F.count("_key"), F.count_if(F.col("_key") >= bar) if bar is not None else F.count("_key")).first()
+        k = every if bar is None else good_rows(every, reached, keys[True] >= bar, keys[False] >= bar)
     return ratio, marks, kth_largest(marks.select("_key"), k)
 
 
