@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from atrium.plans import drafts, geometry, graph, imdf, jobs, more, places, rows, upkeep, validation  # noqa: E402, F401
+from atrium.plans import drafts, geometry, graph, imdf, jobs, more, places, plan_graphs, rows, upkeep, validation  # noqa: E402, F401

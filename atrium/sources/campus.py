@@ -28,6 +28,12 @@ VIEWS = {
     "c_ping": """select event_id, ts, user_id, (user_id % 25) * 10 + cast(round(value * 100) as bigint) % 3 + 1 floor_id, cast((cast(round(value * 100) as bigint) * 7) % 6000 as double) / cast(100 as double) x, cast((cast(round(value * 100) as bigint) * 13) % 1500 as double) / cast(100 as double) y, case when event_type = 'error' then cast(20 as double) else cast(0 as double) end accuracy, event_type, props from events""",
     "c_trip": """select o_orderkey query_id, o_custkey from_poi, (o_orderkey * 7) % (select count(*) from customer) to_poi, o_orderpriority = '1-URGENT' require_accessible from orders""",
     "c_stroke": """select l_orderkey * 8 + l_linenumber stroke_id, l_suppkey % 75 plan_id, case when l_linenumber % 2 = 0 then 'horizontal' else 'vertical' end orientation, cast(l_partkey % 200 as double) offset_px, cast(l_orderkey % 500 as double) start_px, cast(l_orderkey % 500 + 15 + l_quantity as double) end_px, cast(1 + l_linenumber % 6 as double) thickness_px from lineitem""",
+    "c_grid": """select p_partkey, floor_id, slot % 10 col, cast(floor(slot / cast(10 as double)) as bigint) row_no from c_slot""",
+    "c_plan_stroke": """select p_partkey * 10 stroke_id, floor_id plan_id, 'horizontal' orientation, cast(row_no * 50 + p_partkey % 3 - 1 as double) offset_px, cast(col * 60 as double) start_px, cast(col * 60 + case when p_partkey % 5 = 0 then 66 else 60 end as double) end_px, cast(4 + p_partkey % 4 as double) thickness_px from c_grid where p_partkey % 17 <> 3
+  union all select p_partkey * 10 + 1, floor_id, 'vertical', cast(col * 60 + p_partkey % 3 - 1 as double), cast(row_no * 50 as double), cast(row_no * 50 + 50 as double), cast(4 + p_partkey % 3 as double) from c_grid
+  union all select p_partkey * 10 + 2, floor_id, 'horizontal', cast(row_no * 50 + 25 as double), cast(col * 60 + 20 as double), cast(col * 60 + 35 as double), cast(3 as double) from c_grid where p_partkey % 23 = 0
+  union all select p_partkey * 10 + 3, floor_id, 'vertical', cast(col * 60 + 30 as double), cast(row_no * 50 as double), cast(row_no * 50 + 20 as double), cast(4 as double) from c_grid where p_partkey % 19 = 0
+  union all select p_partkey * 10 + 4 + k.k, floor_id, case when k.k < 2 then 'horizontal' else 'vertical' end, cast(case when k.k < 2 then row_no * 50 + 10 + k.k * 30 else col * 60 + 10 + (k.k - 2) * 30 end as double), cast(case when k.k < 2 then col * 60 + 10 else row_no * 50 + 10 end as double), cast(case when k.k < 2 then col * 60 + 40 else row_no * 50 + 40 end as double), cast(4 as double) from c_grid cross join (values (0),(1),(2),(3)) k(k) where p_partkey % 31 = 0""",
     "c_site_node": """select -1 - building_id node_id, project_id, building_id, ox + 2.5 x, oy - 10 y, 'normal' type from c_building""",
     "c_site_edge": """select concat('g', b.building_id) edge_id, b.project_id, -1 - b.building_id from_id, s.space_id * 2 to_id, 'walk' type, cast(1 as double) distance, true accessible from c_building b join c_floor f on f.building_id = b.building_id and f.level = 1 join c_space s on s.floor_id = f.floor_id and s.ord = 0
   union all select concat('r', a.building_id), a.project_id, -1 - a.building_id, -1 - b.building_id, 'walk', cast(300 as double), true from c_building a join c_building b on b.project_id = a.project_id and b.building_id = a.building_id + 5""",
@@ -38,7 +44,7 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 def prelude() -> str:
     """The views as common table expressions, for an engine in which the base tables are registered."""
-    return "with " + ", ".join(f"{name} as ({sql})" for name, sql in VIEWS.items()) + " "
+    return "with recursive " + ", ".join(f"{name} as ({sql})" for name, sql in VIEWS.items()) + " "
 
 
 def needed(name: str) -> tuple[list[str], list[str]]:
