@@ -36,10 +36,11 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def searches(starts: DataFrame, adjacent: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """Every settled (search, node) from starts (search_id, node, extra seconds): weight, hops, previous node and edge, metres, seconds."""
+    """Every settled (search, node) from starts (search_id, node, extra seconds, and ``walked`` metres if any): weight, hops, previous node and edge, metres, seconds."""
     none = F.lit(None).cast(adjacent.schema["src"].dataType)
-    first = starts.groupBy("search_id", "node").agg(F.min("extra").alias("weight"))
-    best = written(first.select("search_id", "node", "weight", F.lit(0).alias("hops"), none.alias("prev_node"), F.lit(None).cast("string").alias("prev_edge"), F.lit(0.0).alias("metres"), F.col("weight").alias("seconds")))
+    walked = F.col("walked") if "walked" in starts.columns else F.lit(0.0)
+    first = starts.groupBy("search_id", "node").agg(F.min(F.struct("extra", walked.alias("walked"))).alias("f"))
+    best = written(first.select("search_id", "node", F.col("f.extra").alias("weight"), F.lit(0).alias("hops"), none.alias("prev_node"), F.lit(None).cast("string").alias("prev_edge"), F.col("f.walked").alias("metres"), F.col("f.extra").alias("seconds")))
     edges = written(adjacent.select("src", "dst", F.col("edge_id").cast("string").alias("edge_id"), F.col("weight").alias("w"), F.col("metres").alias("m"), F.col("seconds").alias("s")))
     frontier, rounds = best, 0
     while most_rounds is None or rounds < most_rounds:
