@@ -1,8 +1,9 @@
 """Fastest routes of many searches at once, by relaxation of a frontier over the adjacency table.
 
-One search serves all destinations of a start.  A round joins the nodes that improved last with their edges,
-keeps the best arrival at each node, and goes on with those that beat what was known.  Rounds end when nothing
-improves; weights are not negative, so there are at most as many as nodes.
+One search serves all destinations of a start.  A hop joins the nodes that improved last with their edges,
+keeps the best arrival at each node, and goes on with those that beat what was known.  A round makes several hops in one plan and
+writes one table of what is known and what goes on.  Rounds end when nothing improves; weights are not negative, so there are at
+most as many hops as nodes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Hops between two written tables.
+HOPS = 3
 STATE = ["search_id", "node", "weight", "hops", "prev_node", "prev_edge", "metres", "seconds"]
 
 
@@ -42,19 +45,26 @@ def searches(starts: DataFrame, adjacent: DataFrame, most_rounds: int | None = N
     first = starts.groupBy("search_id", "node").agg(F.min(F.struct("extra", walked.alias("walked"))).alias("f"))
     best = written(first.select("search_id", "node", F.col("f.extra").alias("weight"), F.lit(0).alias("hops"), none.alias("prev_node"), F.lit(None).cast("string").alias("prev_edge"), F.col("f.walked").alias("metres"), F.col("f.extra").alias("seconds")))
     edges = written(adjacent.select("src", "dst", F.col("edge_id").cast("string").alias("edge_id"), F.col("weight").alias("w"), F.col("metres").alias("m"), F.col("seconds").alias("s")))
-    frontier, rounds = best, 0
-    while most_rounds is None or rounds < most_rounds:
-        step = frontier.join(edges, frontier["node"] == edges["src"])
-        reach = step.select("search_id", F.col("dst").alias("node"), F.struct((F.col("weight") + F.col("w")).alias("weight"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("prev_node"), F.col("edge_id").alias("prev_edge"), (F.col("metres") + F.col("m")).alias("metres"), (F.col("seconds") + F.col("s")).alias("seconds")).alias("a"))
-        arrived = reach.groupBy("search_id", "node").agg(F.min("a").alias("a"))
-        old = best.select("search_id", "node", F.col("weight").alias("old"))
-        better = arrived.join(old, ["search_id", "node"], "left").filter("old is null or a.weight < old - 1e-12").select("search_id", "node", "a.*")
-        frontier = written(better.select(*STATE))
-        if frontier.isEmpty():
+    state, done = best.withColumn("fresh", F.lit(True)), 0
+    while most_rounds is None or done < most_rounds:
+        hops = HOPS if most_rounds is None else min(HOPS, most_rounds - done)
+        known = state.select("search_id", "node", F.col("weight").alias("old"))
+        step, found = state.filter("fresh").select(*STATE), None
+        for hop in range(1, hops + 1):
+            reach = step.join(edges, step["node"] == edges["src"]).select("search_id", F.col("dst").alias("node"), F.struct((F.col("weight") + F.col("w")).alias("weight"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("prev_node"), F.col("edge_id").alias("prev_edge"), (F.col("metres") + F.col("m")).alias("metres"), (F.col("seconds") + F.col("s")).alias("seconds")).alias("a"))
+            arrived = reach.groupBy("search_id", "node").agg(F.min("a").alias("a"))
+            step = arrived.join(known, ["search_id", "node"], "left").filter("old is null or a.weight < old - 1e-12").select("search_id", "node", "a.*")
+            rows = step.select("search_id", "node", F.struct(*STATE[2:], F.lit(hop).alias("hop")).alias("a"))
+            found = rows if found is None else found.union(rows)
+        best = found.groupBy("search_id", "node").agg(F.min("a").alias("a"))
+        # what was reached by the last hop goes on; what an earlier hop reached best has gone on already
+        won = F.col("a").isNotNull() & (F.col("weight").isNull() | (F.col("a.weight") < F.col("weight") - 1e-12))
+        merged = state.select(*STATE).join(best, ["search_id", "node"], "full_outer")
+        state = written(merged.select("search_id", "node", *[F.when(won, F.col(f"a.{c}")).otherwise(F.col(c)).alias(c) for c in STATE[2:]], (won & (F.col("a.hop") == hops)).alias("fresh")))
+        if state.filter("fresh").isEmpty():
             break
-        best = written(best.join(frontier.select("search_id", "node"), ["search_id", "node"], "left_anti").select(*STATE).union(frontier))
-        rounds += 1
-    return best
+        done += hops
+    return state.select(*STATE)
 
 
 def routes(settled: DataFrame, goals: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atrium.operators import endpoints, graph, trip_routes
+from atrium.operators import endpoints, floor_links, graph, trip_routes
 from atrium.plans.graph import GRAPH, _nodes, edges
 from atrium.plans.registry import query
 from atrium.sources.campus import Campus
@@ -90,3 +90,40 @@ def n17_why_no_route(c: Campus) -> DataFrame:
     """Why each trip without a route has none."""
     trips, ends, own, free = _routed(c)
     return trip_routes.reasons(trips, ends, ends, own, free)
+
+
+#: li: the cross-floor edges with their group; gr: the groups with what becomes of them.
+LINKS = """, pn as materialized (select n.node_id, n.floor_id, n.x, n.y, f.building_id b, f.level, f.elevation from c_nav_node n join c_floor f using (floor_id)),
+ li as materialized (select l.*, a.b, (b.elevation > a.elevation or (b.elevation = a.elevation and b.level > a.level)) up from c_link l join pn a on a.node_id = l.from_id join pn b on b.node_id = l.to_id where a.b = b.b and a.floor_id <> b.floor_id),
+ le as materialized (select type, from_id u, to_id v from li union select type, to_id, from_id from li),
+ lr as (select type, u n, u r from le union select lr.type, lr.n, le.v from lr join le on le.type = lr.type and le.u = lr.r),
+ lg as materialized (select type, n node_id, min(r) grp from lr group by all),
+ gf as (select b, li.type, grp, bool_and(accessible) acc, count(*) edges, count(*) filter (one_way) ow, count(*) filter (up) up from li join lg on lg.type = li.type and lg.node_id = li.from_id group by all),
+ gn as (select lg.type, grp, count(*) nodes, count(distinct pn.floor_id) planes from lg join pn using (node_id) group by all),
+ gr as materialized (select *, case when planes < nodes then 'multiple-nodes-on-floor' when ow > 0 and not (type = 'escalator' and ow = edges and (up = 0 or up = edges)) then 'one-way-ambiguous' end reason from gf join gn using (type, grp))"""
+
+
+def _planned(c: Campus) -> tuple[dict[str, DataFrame], DataFrame]:
+    links = c.view("c_link").withColumnRenamed("floor_id", "plane_id")
+    return floor_links.planned(links, c.nodes(), c.floors()), links
+
+
+@query(LINKS + """ select b building_id, type, grp "group", case type when 'walk' then 'ramp' else type end became, acc and type <> 'stairs' accessible, case when ow > 0 then case when up > 0 then 'up' else 'down' end end direction, edges, reason from gr where reason is null
+ union all select b, type, grp, null, null, null, nodes, reason from gr where reason is not null""")
+def n18_floor_links(c: Campus) -> DataFrame:
+    """What each group of edges between floors becomes, or why it stays."""
+    plan, _ = _planned(c)
+    skipped = plan["skipped"].select("building_id", "type", "group", F.lit(None).cast("string").alias("became"), F.lit(None).cast("boolean").alias("accessible"), F.lit(None).cast("string").alias("direction"), F.col("nodes").alias("edges"), "reason")
+    return plan["connectors"].select("building_id", "type", "group", F.col("kind").alias("became"), "accessible", "direction", "edges", F.lit(None).cast("string").alias("reason")).unionByName(skipped)
+
+
+@query(LINKS + """, sh as (select space_id, floor_id, ord, x0, y0, x1, y1 from c_space where space_id % 6 = 1)
+select 'edge' kind, edge_id id, null::bigint node_id, null::bigint space_id from c_link where edge_id not in (select li.edge_id from li join lg on lg.type = li.type and lg.node_id = li.from_id join gr on gr.type = lg.type and gr.grp = lg.grp where reason is null)
+ union all select 'stop', 'link-' || lg.type || '-' || lg.grp, lg.node_id, (select arg_min(space_id, (ord, space_id)) from sh where sh.floor_id = pn.floor_id and pn.x >= x0 and pn.x < x1 and pn.y >= y0 and pn.y < y1) from lg join gr using (type, grp) join pn using (node_id) where reason is null""")
+def b6_links_converted(c: Campus) -> DataFrame:
+    """The edges that stay and the stops of the new connectors; every sixth room is a staircase here."""
+    plan, links = _planned(c)
+    shafts = c.spaces().withColumn("type", F.when(F.col("space_id") % 6 == 1, "stairs").otherwise("room")).withColumn("holes", F.slice("holes", 1, 0))
+    stay, stops = floor_links.applied(plan, links, c.nodes(), shafts)
+    left = stay.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id"), F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("long").alias("space_id"))
+    return left.union(stops.select(F.lit("stop"), "connector_id", "node_id", "space_id"))

@@ -28,6 +28,9 @@ VIEWS = {
     "c_ping": """select event_id, ts, user_id, (user_id % 25) * 10 + cast(round(value * 100) as bigint) % 3 + 1 floor_id, cast((cast(round(value * 100) as bigint) * 7) % 6000 as double) / cast(100 as double) x, cast((cast(round(value * 100) as bigint) * 13) % 1500 as double) / cast(100 as double) y, case when event_type = 'error' then cast(20 as double) else cast(0 as double) end accuracy, event_type, props from events""",
     "c_trip": """select o_orderkey query_id, o_custkey from_poi, (o_orderkey * 7) % (select count(*) from customer) to_poi, o_orderpriority = '1-URGENT' require_accessible from orders""",
     "c_stroke": """select l_orderkey * 8 + l_linenumber stroke_id, l_suppkey % 75 plan_id, case when l_linenumber % 2 = 0 then 'horizontal' else 'vertical' end orientation, cast(l_partkey % 200 as double) offset_px, cast(l_orderkey % 500 as double) start_px, cast(l_orderkey % 500 + 15 + l_quantity as double) end_px, cast(1 + l_linenumber % 6 as double) thickness_px from lineitem""",
+    "c_link": """select concat('l', a.p_partkey) edge_id, a.floor_id, case when a.slot % 8 = 6 or a.p_partkey % 41 = 0 then b.p_partkey else a.p_partkey end * 2 + 1 from_id, case when a.slot % 8 = 6 or a.p_partkey % 41 = 0 then a.p_partkey else b.p_partkey end * 2 + 1 to_id, case a.slot % 4 when 0 then 'elevator' when 1 then 'stairs' when 2 then 'escalator' else 'walk' end type, a.p_partkey % 5 <> 0 accessible, a.slot % 4 = 2 or a.p_partkey % 37 = 0 one_way from c_slot a join c_slot b on b.p_partkey = a.p_partkey + 25 and b.slot = a.slot
+  union all select concat('m', a.p_partkey), a.floor_id, a.p_partkey * 2 + 1, b.p_partkey * 2 + 1, case a.slot % 4 when 0 then 'elevator' when 1 then 'stairs' when 2 then 'escalator' else 'walk' end, true, false from c_slot a join c_slot b on b.p_partkey = a.p_partkey + 100 and b.slot = a.slot + 1 where a.slot % 7 = 0
+  union all select edge_id, floor_id, from_id, to_id, type, accessible, false from c_nav_edge""",
     "c_place": """select p.poi_id, p.floor_id, p.x, p.y, s.space_id from c_poi p left join c_space s on s.floor_id = p.floor_id and s.ord = p.poi_id % 7 and p.poi_id % 4 = 0""",
     "c_end": """select poi_id end_id, case when poi_id % 5 = 0 then 'node' when poi_id % 5 = 1 then 'space' when poi_id % 5 = 2 then 'position' else 'poi' end kind, case when poi_id % 5 = 0 then (poi_id % (select count(*) from part)) * 2 + 1 when poi_id % 5 = 1 then poi_id % (select count(*) from part) + 1 else poi_id end ref_id, floor_id, x, y from c_poi""",
     "c_grid": """select p_partkey, floor_id, slot % 10 col, cast(floor(slot / cast(10 as double)) as bigint) row_no from c_slot""",
