@@ -232,3 +232,11 @@ def wall_panels(length: Column, height: Column, openings: Column) -> Column:
         return F.aggregate(F.filter(from_below, lambda o: (o.a < s.b) & (o.b > s.a)), start, step, last)
 
     return F.flatten(F.transform(strips, of))
+
+
+def on_turned_box(x: Column, y: Column, cx: Column, cy: Column, width: Column, depth: Column, degrees: Column) -> Column:
+    """Whether a point lies on a box of ``width`` and ``depth`` around (cx, cy) that is turned by ``degrees``; its border belongs to it."""
+    turn = F.radians(degrees)
+    along = (x - cx) * F.cos(turn) + (y - cy) * F.sin(turn)
+    across = (y - cy) * F.cos(turn) - (x - cx) * F.sin(turn)
+    return (F.abs(along) <= width / 2) & (F.abs(across) <= depth / 2)

@@ -31,6 +31,8 @@ VIEWS = {
     "c_link": """select concat('l', a.p_partkey) edge_id, a.floor_id, case when a.slot % 8 = 6 or a.p_partkey % 41 = 0 then b.p_partkey else a.p_partkey end * 2 + 1 from_id, case when a.slot % 8 = 6 or a.p_partkey % 41 = 0 then a.p_partkey else b.p_partkey end * 2 + 1 to_id, case a.slot % 4 when 0 then 'elevator' when 1 then 'stairs' when 2 then 'escalator' else 'walk' end type, a.p_partkey % 5 <> 0 accessible, a.slot % 4 = 2 or a.p_partkey % 37 = 0 one_way from c_slot a join c_slot b on b.p_partkey = a.p_partkey + 25 and b.slot = a.slot
   union all select concat('m', a.p_partkey), a.floor_id, a.p_partkey * 2 + 1, b.p_partkey * 2 + 1, case a.slot % 4 when 0 then 'elevator' when 1 then 'stairs' when 2 then 'escalator' else 'walk' end, true, false from c_slot a join c_slot b on b.p_partkey = a.p_partkey + 100 and b.slot = a.slot + 1 where a.slot % 7 = 0
   union all select edge_id, floor_id, from_id, to_id, type, accessible, false from c_nav_edge""",
+    "c_furniture": """select space_id * 3 furniture_id, floor_id, case when space_id % 29 = 0 then -space_id - 1 when space_id % 5 <> 0 then space_id end home, x0 + 1.5 x, y0 + 2 y, cast(0.8 + (space_id % 3) * 0.4 as double) width, cast(0.5 as double) depth, cast((space_id * 15) % 360 as double) turn from c_space""",
+    "c_member": """select space_id % 50 group_id, floor_id, concat(case space_id % 7 when 0 then 'space-' when 1 then 'wall-' when 2 then 'entrance-' when 3 then 'node-' when 4 then 'edge-d' when 5 then 'furniture-' else 'poi-' end, case space_id % 7 when 1 then space_id * 2 when 3 then space_id * 2 + 1 when 5 then space_id * 3 else space_id end + case when space_id % 31 = 0 then 1000000000 else 0 end) member_id from c_space""",
     "c_place": """select p.poi_id, p.floor_id, p.x, p.y, s.space_id from c_poi p left join c_space s on s.floor_id = p.floor_id and s.ord = p.poi_id % 7 and p.poi_id % 4 = 0""",
     "c_end": """select poi_id end_id, case when poi_id % 5 = 0 then 'node' when poi_id % 5 = 1 then 'space' when poi_id % 5 = 2 then 'position' else 'poi' end kind, case when poi_id % 5 = 0 then (poi_id % (select count(*) from part)) * 2 + 1 when poi_id % 5 = 1 then poi_id % (select count(*) from part) + 1 else poi_id end ref_id, floor_id, x, y from c_poi""",
     "c_grid": """select p_partkey, floor_id, slot % 10 col, cast(floor(slot / cast(10 as double)) as bigint) row_no from c_slot""",
