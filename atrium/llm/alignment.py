@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from atrium.llm.chunks import has_double, printable
 from atrium.llm.common import kept, short_batches
-from atrium.llm.library_tokens import byte_letters, read_tokenizer
+from atrium.llm.library_tokens import STOPS, byte_letters, read_tokenizer
 from atrium.llm.remembered import Remembered
 
 #: Pairs with more than one link in so many are looked up in tasks; so many at most.
@@ -57,7 +58,8 @@ class Sides:
 
         self.a, self.b = Tokenizer.from_str(a_file.decode()), sentencepiece.SentencePieceProcessor(model_proto=b_file)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        of = {letter: byte for byte, letter in enumerate(byte_letters())}
+        self.letters, self.tokenize = byte_letters(), self.a.model.tokenize
+        of = {letter: byte for byte, letter in enumerate(self.letters)}
         names = {i: t for t, i in self.a.get_vocab().items()}
         self.a_bytes = [bytes(of[c] for c in names[i]) if i in names and all(c in of for c in names[i]) else b"" for i in range(max(names) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -94,11 +96,24 @@ class Sides:
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, "uint32").tobytes()
+        return array("I", ids).tobytes()
+
+    def _word(self, chunk: str, front: str) -> list[int] | None:
+        """A's ids of a chunk that is a word, or one with a sign behind it: each is one piece.  None for all others."""
+        stop = "" if chunk.isalpha() else chunk[-1:]
+        body = chunk[:-1] if stop else chunk
+        if not body.isalpha() or (stop and stop not in STOPS):
+            return None
+        spelled = body if body.isascii() else "".join(map(self.letters.__getitem__, body.encode()))
+        return [t.id for t in self.tokenize(front + spelled)] + ([t.id for t in self.tokenize(stop)] if stop else [])
 
     def _learn(self, memory: Remembered, chunks: set[str], spaced: bool) -> None:
         new = memory.pending(chunks)
-        a = [e.ids for e in self.a.encode_batch_fast([" " + c if spaced else c for c in new], add_special_tokens=False)]
+        front = self.letters[0x20] if spaced else ""
+        a = [self._word(c, front) for c in new]
+        others = [i for i, ids in enumerate(a) if ids is None]
+        for i, e in zip(others, self.a.encode_batch_fast([" " + new[i] if spaced else new[i] for i in others], add_special_tokens=False), strict=True):
+            a[i] = e.ids
         if spaced:
             b = [ids if c else [self.space] for c, ids in zip(new, self.b.encode(new, num_threads=1), strict=True)]
         else:
