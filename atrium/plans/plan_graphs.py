@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atrium.operators import plan_graph
+from atrium.operators import face_pairs, plan_graph
 from atrium.plans.registry import query
 from atrium.sources.campus import Campus
 
@@ -79,3 +79,15 @@ def d12_rooms(c: Campus) -> DataFrame:
     corner = F.concat(F.round(F.col("x") * 10).cast("long").cast("string"), F.lit(" "), F.round(F.col("y") * 10).cast("long").cast("string"))
     ring = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", corner.alias("c")))), lambda t: t.c), ",")  # the corners of one room
     return found.groupBy("plan_id", "face").agg(F.count(F.lit(1)).alias("corners"), F.round(F.max("area"), 4).alias("area"), ring.alias("ring")).drop("face")
+
+
+@query()
+def d6_paired_faces(c: Campus) -> DataFrame:
+    """Each stroke of the plans drawn as two lines, paired to walls again, with what is left over."""
+    s = c.view("c_plan_stroke")
+    side = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    lines = s.select("plan_id", (F.col("stroke_id") * 2).alias("twice"), side, "orientation", "offset_px", "start_px", "end_px", F.lit(1.0).alias("thickness_px"))
+    lines = lines.select("plan_id", (F.col("twice") + F.col("side")).alias("stroke_id"), "orientation", (F.col("offset_px") + F.col("side") * 6 - 3).alias("offset_px"), (F.col("start_px") + F.col("side") * 2).alias("start_px"), "end_px", "thickness_px")
+    walls, left = face_pairs.paired(lines, s.select("plan_id").distinct().withColumn("gap", F.lit(6.0)), 10.0)
+    kinds = walls.select(F.lit("wall").alias("kind"), "plan_id", "orientation", "offset_px", "start_px", "end_px", "thickness_px")
+    return kinds.union(left.select(F.lit("left"), "plan_id", "orientation", "offset_px", "start_px", "end_px", "thickness_px"))
