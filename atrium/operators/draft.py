@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from atrium.operators.components import components
+
 
 def length(start: str = "start_px", end: str = "end_px") -> Column:
     """Pixel ranges include both ends."""
@@ -65,6 +67,26 @@ def fused(strokes: DataFrame, gap: float) -> DataFrame:
     return rows.groupBy("plan_id", "orientation", "offset_px", "_island").agg(F.min("start_px").alias("start_px"), F.max("end_px").alias("end_px"), F.max("thickness_px").alias("thickness_px"), F.count(F.lit(1)).alias("strokes")).drop("_island")
 
 
+def united(strokes: DataFrame, gap: float, least_reach: float = 1.5, piece: float = 64.0) -> DataFrame:
+    """Strokes of one line become one (plan_id, orientation, offset_px, start_px, end_px, thickness_px, strokes): extent, greatest thickness, offset weighted by length.
+
+    Two strokes are of one line if their offsets differ by no more than ``least_reach`` or half the thicker one's thickness, and they overlap or are
+    at most ``gap`` apart; lines are what such pairs connect.  Strokes meet in bands of offsets as wide as the largest reach of their plan, and in the
+    pieces of the axis that both touch.
+    """
+    keys = ["plan_id", "orientation"]
+    widest = strokes.groupBy(*keys).agg(F.greatest(F.lit(least_reach), F.max("thickness_px") / 2).alias("widest"))
+    s = strokes.join(widest, keys).withColumn("band", F.floor(F.col("offset_px") / F.col("widest"))).withColumn("piece", F.explode(F.sequence(F.floor((F.col("start_px") - gap) / piece), F.floor((F.col("end_px") + gap) / piece))))
+    other = s.select(*keys, "piece", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("stroke_id").alias("o_id"), F.col("offset_px").alias("o_at"), F.col("start_px").alias("o0"), F.col("end_px").alias("o1"), F.col("thickness_px").alias("o_thick"))
+    near = F.abs(F.col("offset_px") - F.col("o_at")) <= F.greatest(F.lit(least_reach), F.greatest("thickness_px", "o_thick") / 2)
+    pair = s.join(other, [*keys, "band", "piece"]).filter((F.col("stroke_id") < F.col("o_id")) & near & (F.col("start_px") <= F.col("o1") + gap) & (F.col("end_px") >= F.col("o0") - gap))
+    name = lambda c: F.struct("plan_id", F.col(c).alias("stroke_id"))
+    lines = components(strokes.select(name("stroke_id").alias("node")), pair.select(name("stroke_id").alias("a"), name("o_id").alias("b")))
+    marked = strokes.join(lines.select("node.plan_id", "node.stroke_id", F.col("component.stroke_id").alias("line")), ["plan_id", "stroke_id"])
+    middle = F.sum(F.col("offset_px") * length()) / F.sum(length())
+    return marked.groupBy(*keys, "line").agg(middle.alias("offset_px"), F.min("start_px").alias("start_px"), F.max("end_px").alias("end_px"), F.max("thickness_px").alias("thickness_px"), F.count(F.lit(1)).alias("strokes")).drop("line")
+
+
 def median_thickness(walls: DataFrame, least: float = 0.06, most: float = 0.6, few: int = 3) -> DataFrame:
     """plan_id, median, odd_scale: the upper median thickness of plans with ``few`` walls or more, and whether it lies outside the range."""
     w = Window.partitionBy("plan_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atrium.operators import face_pairs, plan_graph
+from atrium.operators import draft, face_pairs, plan_graph
 from atrium.plans.registry import query
 from atrium.sources.campus import Campus
 
@@ -91,3 +91,12 @@ def d6_paired_faces(c: Campus) -> DataFrame:
     walls, left = face_pairs.paired(lines, s.select("plan_id").distinct().withColumn("gap", F.lit(6.0)), 10.0)
     kinds = walls.select(F.lit("wall").alias("kind"), "plan_id", "orientation", "offset_px", "start_px", "end_px", "thickness_px")
     return kinds.union(left.select(F.lit("left"), "plan_id", "orientation", "offset_px", "start_px", "end_px", "thickness_px"))
+
+
+@query(""", sl as materialized (select a.plan_id, a.stroke_id u, b.stroke_id v from c_plan_stroke a join c_plan_stroke b on a.plan_id = b.plan_id and a.orientation = b.orientation and abs(a.offset_px - b.offset_px) <= greatest(1.5, greatest(a.thickness_px, b.thickness_px) / 2) and a.start_px <= b.end_px + 5 and a.end_px >= b.start_px - 5),
+ sc as (select plan_id, u n, v r from sl union select sc.plan_id, sc.n, sl.v from sc join sl on sl.plan_id = sc.plan_id and sl.u = sc.r),
+ sm as (select plan_id, n stroke_id, min(r) line from sc group by all)
+select plan_id, orientation, round(sum(offset_px * (end_px - start_px + 1)) / sum(end_px - start_px + 1), 6) offset_px, min(start_px) start_px, max(end_px) end_px, max(thickness_px) thickness_px, count(*) strokes from c_plan_stroke join sm using (plan_id, stroke_id) group by plan_id, orientation, line""")
+def d2_united_strokes(c: Campus) -> DataFrame:
+    """The strokes of each wall line of the plans as one, though their offsets differ by a pixel or two."""
+    return draft.united(c.view("c_plan_stroke"), 5.0).withColumn("offset_px", F.round("offset_px", 6))

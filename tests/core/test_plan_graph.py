@@ -99,3 +99,12 @@ def test_long_rings_and_many_plans(spark):
             strokes += [h(k, 0, k * 20, k * 20 + 20, plan=plan), h(100 + k, 50, k * 20, k * 20 + 20, plan=plan)]
         strokes += [v(200, 0, 0, 50, plan=plan), v(201, 800, 0, 50, plan=plan)]
     assert rooms(spark, strokes) == [(p, 82, 40_000) for p in range(3)]
+
+
+def test_strokes_of_one_line_are_united(spark):
+    from atrium.operators import draft
+
+    strokes = [h(1, 10, 0, 99, 4), h(2, 12, 100, 149, 2), h(3, 11, 300, 320), h(4, 20, 0, 50), h(5, 10, 0, 50, plan=2), h(6, 11.6, 0, 50, 1, plan=2), v(7, 10, 0, 99)]
+    found = draft.united(spark.createDataFrame(strokes, STROKE), 5.0).collect()
+    got = sorted((r.plan_id, r.orientation, round(r.offset_px, 4), r.start_px, r.end_px, r.thickness_px, r.strokes) for r in found)
+    assert got == [(1, "horizontal", round((10 * 100 + 12 * 50) / 150, 4), 0, 149, 4, 2), (1, "horizontal", 11, 300, 320, 4, 1), (1, "horizontal", 20, 0, 50, 4, 1), (1, "vertical", 10, 0, 99, 4, 1), (2, "horizontal", 10.8, 0, 50, 4, 2)]
