@@ -19,7 +19,8 @@ def listed(folder: str) -> list[int]:
 def test_the_rest_loads_without_the_training_text_operators(tmp_path):
     copy = str(tmp_path / "copy")
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "spark-warehouse"))
-    kept, sql, of_texts = listed(copy)  # corpus_pipeline.py is still there
+    kept, sql, of_texts = listed(copy)  # corpus_pipeline.py may still be there
     assert of_texts == 0 and kept >= 61 and sql >= 57
-    os.remove(f"{copy}/corpus_pipeline.py")
+    if os.path.exists(f"{copy}/corpus_pipeline.py"):  # gone already where the operators are taken out of the repository itself
+        os.remove(f"{copy}/corpus_pipeline.py")
     assert listed(copy) == [kept, sql, 0]
