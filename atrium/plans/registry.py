@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from atrium.plans import drafts, edits, flaws, geometry, graph, imdf, jobs, more, places, plan_graphs, routes, rows, upkeep, validation  # noqa: E402, F401
+from atrium.plans import drafts, edits, flaws, geometry, graph, imdf, jobs, journeys, more, places, plan_graphs, routes, rows, upkeep, validation  # noqa: E402, F401
