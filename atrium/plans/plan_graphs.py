@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atrium.operators import draft, face_pairs, plan_graph
+from atrium.operators import draft, face_pairs, plan_graph, plan_openings
 from atrium.plans.registry import query
 from atrium.sources.campus import Campus
 
@@ -100,3 +100,25 @@ select plan_id, orientation, round(sum(offset_px * (end_px - start_px + 1)) / su
 def d2_united_strokes(c: Campus) -> DataFrame:
     """The strokes of each wall line of the plans as one, though their offsets differ by a pixel or two."""
     return draft.united(c.view("c_plan_stroke"), 5.0).withColumn("offset_px", F.round("offset_px", 6))
+
+
+#: Metres to a pixel of the plans in which openings are looked for.
+SCALE = 0.031
+
+
+@query(f""", w as materialized (select plan_id, stroke_id k, case when orientation = 'horizontal' then start_px else offset_px end * {SCALE} ax, case when orientation = 'horizontal' then offset_px else start_px end * {SCALE} ay, case when orientation = 'horizontal' then end_px else offset_px end * {SCALE} bx, case when orientation = 'horizontal' then offset_px else end_px end * {SCALE} by_, thickness_px * {SCALE} th, orientation o, offset_px * {SCALE} pos, start_px * {SCALE} s, end_px * {SCALE} e from c_plan_stroke),
+ gp as (select a.plan_id, a.k i, b.k j, a.o, a.pos, case when b.s > a.e then a.e else b.e end f, case when b.s > a.e then b.s else a.s end t, (a.th+b.th)/2 th from w a join w b on a.plan_id = b.plan_id and a.o = b.o and a.k < b.k and abs(a.pos-b.pos) <= 0.04 and abs(a.th-b.th) <= 0.08 and a.e-a.s >= 0.4 and b.e-b.s >= 0.4 and (b.s > a.e or b.e < a.s)),
+ tp as (select plan_id, k, ax x, ay y from w union all select plan_id, k, bx, by_ from w),
+ oc as materialized (select *, case when o = 'horizontal' then (f+t)/2 else pos end x, case when o = 'horizontal' then pos else (f+t)/2 end y from gp where t-f between 0.55 and 2.4 and not exists (select 1 from tp where tp.plan_id = gp.plan_id and tp.k <> i and tp.k <> j and (case when o = 'horizontal' then x else y end) > f+0.04 and (case when o = 'horizontal' then x else y end) < t-0.04 and abs((case when o = 'horizontal' then y else x end) - pos) < 0.15)),
+ cf as materialized (select b.plan_id, a.i i0, a.j j0, b.i, b.j from oc a join oc b on a.plan_id = b.plan_id and (a.i, a.j) < (b.i, b.j) and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) < 0.15),
+ d1 as materialized (select distinct plan_id, i, j from cf where (plan_id, i0, j0) not in (select (plan_id, i, j) from cf)),
+ c2 as materialized (select * from cf anti join d1 using (plan_id, i, j) anti join d1 on d1.plan_id = cf.plan_id and d1.i = cf.i0 and d1.j = cf.j0),
+ d2 as (select distinct plan_id, i, j from c2 where (plan_id, i0, j0) not in (select (plan_id, i, j) from c2))
+select plan_id, i, j, round(x, 6) x, round(y, 6) y, round(t-f, 6) width, round(th, 6) thickness from oc anti join (select * from d1 union select * from d2) using (plan_id, i, j)""")
+def d13_openings(c: Campus) -> DataFrame:
+    """The gaps of the plans in which a door, a window or a passage may be."""
+    s = c.view("c_plan_stroke")
+    flat = F.col("orientation") == "horizontal"
+    side = lambda a, b: F.when(flat, F.col(a)).otherwise(F.col(b)) * SCALE
+    walls = s.select("plan_id", F.col("stroke_id").alias("wall_id"), side("start_px", "offset_px").alias("ax"), side("offset_px", "start_px").alias("ay"), side("end_px", "offset_px").alias("bx"), side("offset_px", "end_px").alias("by"), (F.col("thickness_px") * SCALE).alias("thickness"))
+    return plan_openings.openings(walls).select("plan_id", "i", "j", r("x"), r("y"), r("width"), r("thickness"))
