@@ -74,19 +74,18 @@ def routes(settled: DataFrame, goals: DataFrame) -> DataFrame:
     return goals.select("query_id").distinct().join(best, "query_id", "left").select("query_id", "b.search_id", "b.node", F.col("b.total").alias("weight"), "b.metres", "b.seconds")
 
 
-def paths(settled: DataFrame, found: DataFrame, most_hops: int = 100_000) -> DataFrame:
+def paths(settled: DataFrame, found: DataFrame) -> DataFrame:
     """query_id, ord (from the start), node, edge_id: the steps of each found route, walked back from its end."""
     at = found.filter("node is not null").select("query_id", "search_id", "node")
     state = settled.select("search_id", "node", "hops", "prev_node", "prev_edge")
-    steps, n = None, 0
-    while n < most_hops:
+    steps = None
+    while True:
         here = written(at.join(state, ["search_id", "node"]))
         if here.isEmpty():
             break
         rows = here.select("query_id", F.col("hops").alias("ord"), "node", F.col("prev_edge").alias("edge_id"))
         steps = rows if steps is None else steps.union(rows)
         at = here.filter("prev_node is not null").select("query_id", "search_id", F.col("prev_node").alias("node"))
-        n += 1
     return steps if steps is not None else at.select("query_id", F.lit(0).alias("ord"), "node", F.lit("").alias("edge_id")).limit(0)
 
 
