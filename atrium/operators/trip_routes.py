@@ -5,6 +5,9 @@ plane, the way between two gates, and the way from a gate to the end; or it stay
 searched from its gates alone (there and back), ways between gates over a graph of gates alone, and only trips within one plane need a
 search of their own from each distinct start.  Trips then join three small tables, so a million trips cost joins and no search.
 All ways are exact: every fastest path is a chain of such parts.
+
+Where nodes have coordinates, blocks of a bounded number of nodes (``routing.blocks``) are the planes, so a way within one is found in a single
+pass over its block, and a search of a trip's own sees one block only, and of that no more than lies nearer than its ends.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atrium.operators.graph import WALKING_SPEED
-from atrium.operators.routing import searches, why_none, written
+from atrium.operators.routing import blocks, searches, searches_by_block, why_none, written
 
 COST = ("weight", "metres", "seconds")
 
@@ -23,16 +26,24 @@ def _cost(*parts: str) -> Column:
     return F.struct(*[sum((F.col(f"{p}.{c}") for p in parts[1:]), F.col(f"{parts[0]}.{c}")).alias(c) for c in COST])
 
 
-def _ways(starts: DataFrame, adjacent: DataFrame) -> DataFrame:
-    done = searches(starts, adjacent)
+def _ways(starts: DataFrame, adjacent: DataFrame, block_of: DataFrame | None = None, goals: DataFrame | None = None) -> DataFrame:
+    done = searches(starts, adjacent) if block_of is None else searches_by_block(starts, adjacent, block_of, goals)
     return done.select(F.col("search_id").alias("a"), F.col("node").alias("b"), F.struct(*COST).alias("way"))
 
 
 class PlaneWays:
-    """Ways within planes and between gates, for one adjacency table (src, dst, edge_id, weight, metres, seconds) and nodes (node_id, plane_id)."""
-
-    def __init__(self, adjacent: DataFrame, nodes: DataFrame) -> None:
-        self.nodes = written(nodes.select("node_id", "plane_id").distinct())
+    """Ways within planes and between gates, for one adjacency table (src, dst, edge_id, weight, metres, seconds) and nodes (node_id, plane_id, and x, y if known).
+
+    Ways to and from other nodes than gates are kept for those of ``ends`` (node_id) only, if given.
+    """
+
+    def __init__(self, adjacent: DataFrame, nodes: DataFrame, ends: DataFrame | None = None) -> None:
+        self.block_of = None
+        if {"x", "y"} <= set(nodes.columns):
+            self.block_of = written(blocks(nodes.withColumnRenamed("node_id", "node")))
+            self.nodes = self.block_of.select(F.col("node").alias("node_id"), F.col("block").alias("plane_id"))
+        else:
+            self.nodes = written(nodes.select("node_id", "plane_id").distinct())
         side = lambda end: self.nodes.select(F.col("node_id").alias(end), F.col("plane_id").alias(f"{end}_plane"))
         placed = written(adjacent.join(side("src"), "src").join(side("dst"), "dst"))
         across = placed.filter("src_plane <> dst_plane")
@@ -41,14 +52,26 @@ class PlaneWays:
         starts = gates.select(F.col("node").alias("search_id"), "node", F.lit(0.0).alias("extra"))
         back = self.inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in adjacent.columns if c not in ("src", "dst")])
         #: from a gate to the nodes of its plane, and from those to the gate
-        self.out = written(_ways(starts, self.inside))
-        self.into = written(_ways(starts, back).select(F.col("b").alias("a"), F.col("a").alias("b"), "way"))
+        kept = None if ends is None else written(ends.select(F.col("node_id").alias("b")).union(gates).distinct())
+        keep = lambda ways: ways if kept is None else ways.join(kept, "b", "left_semi").select("a", "b", "way")
+        self.out = written(keep(_ways(starts, self.inside, self.block_of)))
+        self.into = written(keep(_ways(starts, back, self.block_of)).select(F.col("b").alias("a"), F.col("a").alias("b"), "way"))
         between = self.out.join(gates.withColumnRenamed("node", "b"), "b", "left_semi").filter("a <> b")
         hops = between.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("plane").alias("edge_id"), *[F.col(f"way.{c}").alias(c) for c in COST])
         hops = hops.unionByName(across.select("src", "dst", "edge_id", *COST))
         #: between any two gates, over all planes
         self.gates = written(_ways(starts, hops))
 
+    def _needed(self, costs: DataFrame, end: str, gate: str) -> DataFrame:
+        """``costs`` (end, gate, cost) without gates that are passed by another gate of the end at no more cost; what such a gate gives the other one gives too."""
+        there, here = ("a", "b") if end == "from_id" else ("b", "a")
+        via = self.gates.filter("a <> b").select(F.col(there).alias("via"), F.col(here).alias(gate), "way")
+        other = costs.select(end, F.col(gate).alias("via"), F.col("cost").alias("first"))
+        sums = [F.col(f"first.{c}") + F.col(f"way.{c}") <= F.col(f"cost.{c}") for c in COST[:2]]
+        first = (F.col("way.weight") > 0) | (F.col("via") < F.col(gate))
+        passed = costs.join(via, gate).join(other, [end, "via"]).filter(sums[0] & sums[1] & first).select(end, gate)
+        return costs.join(passed, [end, gate], "left_anti")
+
     def trips(self, trips: DataFrame, starts: DataFrame, goals: DataFrame, speed: float = WALKING_SPEED) -> DataFrame:
         """query_id, weight, metres, seconds of the fastest route of each trip (query_id, from_id, to_id) that has one.
 
@@ -59,6 +82,7 @@ class PlaneWays:
         least = lambda df, *keys: df.groupBy(*keys).agg(F.min("cost").alias("cost"))
         leave = written(least(s.join(self.into.withColumnRenamed("a", "node_id"), "node_id").select(F.col("end_id").alias("from_id"), F.col("b").alias("p"), _cost("walk", "way").alias("cost")), "from_id", "p"))
         arrive = written(least(self.out.withColumnRenamed("b", "node_id").join(g, "node_id").select(F.col("end_id").alias("to_id"), F.col("a").alias("q"), _cost("way", "walk").alias("cost")), "to_id", "q"))
+        leave, arrive = written(self._needed(leave, "from_id", "p")), written(self._needed(arrive, "to_id", "q"))
         far = trips.join(leave.withColumnRenamed("cost", "first"), "from_id").join(arrive.withColumnRenamed("cost", "last"), "to_id")
         far = far.join(self.gates.select(F.col("a").alias("p"), F.col("b").alias("q"), "way"), ["p", "q"]).select("query_id", _cost("first", "way", "last").alias("cost"))
         # trips that can stay on one plane: one search from each distinct start
@@ -66,8 +90,9 @@ class PlaneWays:
         near = written(trips.join(planes(s, "from_id"), "from_id").join(planes(g, "to_id"), ["to_id", "plane_id"]))
         own = s.join(near.select(F.col("from_id").alias("end_id"), "plane_id").distinct(), ["end_id", "plane_id"], "left_semi")
         starts_own = own.select(F.col("end_id").alias("search_id"), F.col("node_id").alias("node"), F.col("walk.weight").alias("extra"), F.col("walk.metres").alias("walked"))
-        direct = _ways(starts_own, self.inside).select(F.col("a").alias("from_id"), F.col("b").alias("node_id"), "way")
         goal = g.select(F.col("end_id").alias("to_id"), "node_id", "walk")
+        asked = near.join(g.select(F.col("end_id").alias("to_id"), "plane_id", "node_id"), ["to_id", "plane_id"]).select(F.col("from_id").alias("search_id"), F.col("node_id").alias("node"))
+        direct = written(_ways(starts_own, self.inside, self.block_of, asked)).select(F.col("a").alias("from_id"), F.col("b").alias("node_id"), "way")
         stay = near.select("query_id", "from_id", "to_id").join(goal, "to_id").join(direct, ["from_id", "node_id"]).select("query_id", _cost("way", "walk").alias("cost"))
         return least(far.unionByName(stay), "query_id").select("query_id", *[F.col(f"cost.{c}").alias(c) for c in COST])
 

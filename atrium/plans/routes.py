@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atrium.operators import endpoints, floor_links, graph, trip_routes
-from atrium.plans.graph import GRAPH, _nodes, edges
+from atrium.plans.graph import GRAPH, _nodes, edges, places
 from atrium.plans.registry import query
 from atrium.sources.campus import Campus
 
@@ -51,10 +51,6 @@ def _ends(c: Campus) -> DataFrame:
     return endpoints.resolved(c.view("c_end").withColumnRenamed("floor_id", "plane_id"), places, c.spaces(), nodes, c.walls(), c.entrances())
 
 
-def _planes(c: Campus) -> DataFrame:
-    return c.nodes().select("node_id", "plane_id").union(c.site_nodes().select("node_id", (-F.col("project_id") - 1).alias("plane_id")))
-
-
 @query(ANCHORS + " select end_id, node_id, round(d, 6) distance from an")
 def n13_route_ends(c: Campus) -> DataFrame:
     """The nodes of each end of a route: a node, a room, a free position, or a place with or without a stated room."""
@@ -68,9 +64,9 @@ def _trips(c: Campus) -> DataFrame:
 def _routed(c: Campus) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(trips, ends, routes under each trip's own options, routes without options)."""
     trips, ends = _trips(c), trip_routes.written(_ends(c))
-    adjacent, planes = trip_routes.written(graph.adjacency(edges(c), _nodes(c))), _planes(c)
-    free = trip_routes.PlaneWays(adjacent, planes).trips(trips, ends, ends)
-    strict = trip_routes.PlaneWays(graph.passable(adjacent, require_accessible=True), planes).trips(trips.filter("require_accessible"), ends, ends)
+    adjacent, planes = trip_routes.written(graph.adjacency(edges(c), _nodes(c))), places(c).withColumnRenamed("node", "node_id")
+    free = trip_routes.PlaneWays(adjacent, planes, ends).trips(trips, ends, ends)
+    strict = trip_routes.PlaneWays(graph.passable(adjacent, require_accessible=True), planes, ends).trips(trips.filter("require_accessible"), ends, ends)
     free = trip_routes.written(free)
     return trips, ends, strict.unionByName(free.join(trips.filter("not require_accessible").select("query_id"), "query_id", "left_semi")), free
 
