@@ -44,10 +44,19 @@ def anchors(spots: DataFrame, spaces: DataFrame, nodes: DataFrame, walls: DataFr
 
     The space is the one that the spot states (``space_id``, if there is such a column and the plane has that space), else the first that
     contains it.  For the nearest clear node a spot looks at the nodes within ``reach`` first; spots that find none look again
-    four times as far, up to ``most`` metres.
+    four times as far, up to ``most`` metres.  Spots at the same place that state the same space ask once.
     """
     named = F.col("space_id") if "space_id" in spots.columns else F.lit(None).cast(spaces.schema["space_id"].dataType)
-    spots = spots.select(key, "plane_id", "x", "y", named.alias("stated"))
+    every = written(spots.select(key, "plane_id", "x", "y", named.alias("stated")))
+    one = written(every.groupBy("plane_id", "x", "y", "stated").agg(F.min(key).alias("one")))
+    e, o = every.alias("e"), one.alias("o")
+    same = (F.col("e.stated").eqNullSafe(F.col("o.stated"))) & (F.col("e.plane_id") == F.col("o.plane_id")) & (F.col("e.x") == F.col("o.x")) & (F.col("e.y") == F.col("o.y"))
+    found = _anchors(one.withColumnRenamed("one", key), spaces, nodes, walls, entrances, key, reach, most).withColumnRenamed(key, "one")
+    return e.join(o, same).select(key, "one").join(found, "one").select(key, "node_id", "distance")
+
+
+def _anchors(spots: DataFrame, spaces: DataFrame, nodes: DataFrame, walls: DataFrame, entrances: DataFrame, key: str, reach: float, most: float) -> DataFrame:
+    """``anchors`` of spots (key, plane_id, x, y, stated) that all differ."""
     known = spaces.select("plane_id", F.col("space_id").alias("stated"), F.col("space_id").alias("own"))
     home = spatial.first_space(spots.drop("stated"), spaces, key)
     placed = spots.join(known, ["plane_id", "stated"], "left").join(home, key, "left").select(key, "plane_id", "x", "y", F.coalesce("own", "space_id").alias("space_id"))
@@ -61,7 +70,8 @@ def anchors(spots: DataFrame, spaces: DataFrame, nodes: DataFrame, walls: DataFr
         return pairs.join(gone, [key, "node_id"], "left_anti").select(key, "node_id", far.alias("distance"))
 
     placed = written(placed)
-    of_space = spatial.nodes_of_spaces(spaces, nodes.select("plane_id", "node_id", "x", "y"))
+    homes = spaces.join(placed.select("space_id").distinct(), "space_id", "left_semi")
+    of_space = spatial.nodes_of_spaces(homes, nodes.select("plane_id", "node_id", "x", "y"))
     found = written(clear(placed.join(of_space, "space_id").join(at, ["plane_id", "node_id"])))
     left = written(placed.join(found.select(key).distinct(), key, "left_anti"))
     steps = F.explode(F.sequence(F.lit(-1), F.lit(1)))
