@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from atrium.operators.components import components, cycles
+from atrium.operators.components import cell, components, cycles
 from atrium.operators.routing import written
 
 #: Two edges at a node go straight on if the cosine of their directions is below this.
@@ -57,7 +57,7 @@ def snapped(points: DataFrame, reach: float = 3.0) -> DataFrame:
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
     near = keyed.join(around, ["plan_id", "cx", "cy"]).filter((dx * dx + dy * dy <= reach * reach) & ((F.col("x") < F.col("ox")) | ((F.col("x") == F.col("ox")) & (F.col("y") < F.col("oy")))))
     name = lambda x, y: F.struct("plan_id", F.col(x).alias("x"), F.col(y).alias("y"))
-    labels = components(points.select(name("x", "y").alias("node")), near.select(name("x", "y").alias("a"), name("ox", "oy").alias("b")))
+    labels = components(points.select(name("x", "y").alias("node")), near.select(name("x", "y").alias("a"), name("ox", "oy").alias("b")), lambda k: cell(k.plan_id, k.x, k.y))
     placed = points.join(labels.select("node.plan_id", "node.x", "node.y", F.struct("component.x", "component.y").alias("node")), ["plan_id", "x", "y"])
     middle = placed.groupBy("plan_id", "node").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("nx"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("ny"))
     return placed.join(middle, ["plan_id", "node"]).select("plan_id", "x", "y", "node", "nx", "ny")
@@ -104,7 +104,7 @@ def pruned(edges: DataFrame, stub: float, least: float, share: float = 0.0) -> t
     """(edges that stay, edges of dropped pieces): no stubs, and no connected piece shorter than ``least`` or than ``share`` of its plan's longest."""
     left = without_stubs(edges, stub)
     name = lambda k: F.struct("plan_id", F.col(k).alias("node"))
-    labels = components(_ends(left).select(name("node").alias("node")), left.select(name("a").alias("a"), name("b").alias("b")))
+    labels = components(_ends(left).select(name("node").alias("node")), left.select(name("a").alias("a"), name("b").alias("b")), lambda k: cell(k.plan_id, k.node.x, k.node.y))
     marked = written(left.join(labels.select("node.plan_id", F.col("node.node").alias("a"), F.col("component.node").alias("piece")), ["plan_id", "a"]))
     sizes = marked.groupBy("plan_id", "piece").agg(F.sum(_length()).alias("size"))
     longest = sizes.groupBy("plan_id").agg(F.max("size").alias("longest"))
@@ -125,7 +125,7 @@ def straight_walls(edges: DataFrame) -> DataFrame:
     back = only.select("plan_id", "node", F.col("o_id").alias("edge_id"), F.col("edge_id").alias("o_id"))
     links = written(only.join(back, ["plan_id", "node", "edge_id", "o_id"], "left_semi"))
     name = lambda k: F.struct("plan_id", F.col(k).alias("edge_id"))
-    labels = components(edges.select(name("edge_id").alias("node")), links.select(name("edge_id").alias("a"), name("o_id").alias("b")))
+    labels = components(edges.select(name("edge_id").alias("node")), links.select(name("edge_id").alias("a"), name("o_id").alias("b")), lambda k: cell(k.plan_id, k.edge_id.a.x, k.edge_id.a.y))
     marked = written(edges.join(labels.select("node.plan_id", "node.edge_id", F.col("component.edge_id").alias("wall")), ["plan_id", "edge_id"]))
     walls = marked.groupBy("plan_id", "wall").agg((F.sum(F.col("thickness_px") * _length()) / F.sum(_length())).alias("thickness_px"), F.count(F.lit(1)).alias("edges"))
     tip = lambda n, x, y: F.struct(F.col(n).alias("node"), F.col(x).alias("x"), F.col(y).alias("y"))
@@ -148,7 +148,7 @@ def faces(edges: DataFrame) -> DataFrame:
     every = Window.partitionBy("plan_id", "u").orderBy(F.atan2(F.col("to_y") - F.col("y"), F.col("to_x") - F.col("x")), "v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turns = darts.select("plan_id", F.col("u").alias("at"), F.col("v").alias("came_from"), F.coalesce(F.lead("v").over(around), F.first("v").over(every)).alias("goes_to"))
     name = lambda u, v: F.struct("plan_id", F.col(u).alias("u"), F.col(v).alias("v"))
-    ring = cycles(turns.select(name("came_from", "at").alias("item"), name("at", "goes_to").alias("next")))
+    ring = cycles(turns.select(name("came_from", "at").alias("item"), name("at", "goes_to").alias("next")), lambda k: cell(k.plan_id, k.u.x, k.u.y))
     ring = ring.select("item.plan_id", "item.u", "item.v", F.struct("cycle.u", "cycle.v").alias("face"), "place", "size")
     step = F.col("x") * F.col("to_y") - F.col("to_x") * F.col("y")
     return ring.join(darts, ["plan_id", "u", "v"]).select("plan_id", "face", "place", "size", F.col("u").alias("node"), "x", "y", step.alias("step"))
