@@ -39,6 +39,15 @@ def blocked(walks: DataFrame, walls: DataFrame, entrances: DataFrame, spaces: Da
     return out.distinct()
 
 
+def walks_within(spots: DataFrame, nodes: DataFrame, key: str, reach: float) -> DataFrame:
+    """walk_id (key, node_id), plane_id, ax, ay, bx, by: a walk from each node to each spot (key, plane_id, x, y) at most ``reach`` away; they meet in cells as wide."""
+    steps = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    around = nodes.select("plane_id", "node_id", F.col("x").alias("ax"), F.col("y").alias("ay")).withColumn("i", steps).withColumn("j", steps)
+    around = around.withColumn("cx", F.floor(F.col("ax") / reach) + F.col("i")).withColumn("cy", F.floor(F.col("ay") / reach) + F.col("j")).drop("i", "j")
+    near = spatial.at_cell(spots.select(key, "plane_id", "x", "y"), reach).join(around, ["plane_id", "cx", "cy"]).filter(geom.distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay")) <= reach)
+    return written(near.select(F.struct(key, "node_id").alias("walk_id"), "plane_id", "ax", "ay", F.col("x").alias("bx"), F.col("y").alias("by")))
+
+
 def anchors(spots: DataFrame, spaces: DataFrame, nodes: DataFrame, walls: DataFrame, entrances: DataFrame, key: str, reach: float = 8.0, most: float = 5000.0) -> DataFrame:
     """key, node_id, distance: the clear nodes of the space of a spot, else the nearest clear node of its plane (the smallest id on ties).
 
