@@ -116,11 +116,15 @@ def drawn_walks(waypoints: DataFrame, nodes: DataFrame, reach: float) -> tuple[D
 
 def door_sides(doors: DataFrame, spaces: DataFrame, reach: float = 0.3) -> DataFrame:
     """entrance_id, space_a, space_b: the nearest and the second nearest space whose outline is within ``reach`` of the door (ties by order)."""
-    rooms = spatial.with_cells(spaces.select("plane_id", "space_id", F.col("ord").alias("space_ord"), "polygon"), geom.box(F.col("polygon")), reach)
+    rooms = spaces.select("plane_id", "space_id", F.col("ord").alias("space_ord"), "polygon", geom.box(F.col("polygon")).alias("box"))
+    rooms = spatial.with_cells(rooms, F.col("box"), reach)
     near = spatial.at_cell(doors.select("entrance_id", "plane_id", "x", "y")).join(rooms, ["plane_id", "cx", "cy"])
-    near = near.withColumn("d", geom.distance_to_ring(F.col("x"), F.col("y"), F.col("polygon"))).filter(F.col("d") <= reach)
+    slack = reach + spatial.EPSILON
+    near = near.filter(F.col("x").between(F.col("box.x0") - slack, F.col("box.x1") + slack) & F.col("y").between(F.col("box.y0") - slack, F.col("box.y1") + slack))
+    # the distance is computed once for each pair whose box is in reach, not again by a filter
+    near = near.withColumn("d", F.explode(F.filter(F.array(geom.distance_to_ring(F.col("x"), F.col("y"), F.col("polygon"))), lambda d: d <= reach)))
     order = Window.partitionBy("entrance_id").orderBy("d", "space_ord", "space_id")
-    two = near.withColumn("k", F.row_number().over(order)).filter("k <= 2")
+    two = near.select("entrance_id", "space_id", "space_ord", "d").withColumn("k", F.row_number().over(order)).filter("k <= 2")
     side = lambda k: F.max(F.when(F.col("k") == k, F.col("space_id")))
     return doors.select("entrance_id").join(two.groupBy("entrance_id").agg(side(1).alias("space_a"), side(2).alias("space_b")), "entrance_id", "left")
 
