@@ -17,14 +17,17 @@ import regex
 from atrium.llm.chunks import Memory, SpacedEncoder, printable
 
 _MADE: dict[str, Callable[[str], bytes]] = {}
-#: White space beside the space on which libraries of any Unicode version agree.
-_FEEDS = str.maketrans("", "", "\t\n\r")
 #: Signs that often end a word; with one of them such a chunk is two pieces.
 STOPS = frozenset(",.!?;:")
 #: Fixed value: the split of byte-level tokenizers that name no pattern of their own.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def without_feeds(text: str) -> str:
+    """``text`` without the white space beside the space on which libraries of any Unicode version agree."""
+    return text.replace("\n", "").replace("\t", "").replace("\r", "")
+
+
 def read_tokenizer(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -74,16 +77,20 @@ def encoder(json_file: bytes, words: bool) -> Callable[[str], bytes]:
         return array("I", [t.id for t in tokenize(text)]).tobytes()
 
     if words:
-        pieces = Memory(piece, 200_000)
 
-        def chunk(text: str) -> bytes:
-            low = text.lower()
-            return pieces[low] if low.isalpha() else b"".join(map(pieces.__getitem__, split.findall(low)))
+        def chunk(low: str) -> bytes:
+            """A word in lower case; its parts are remembered as words are, so a word and its copy before a comma are new once."""
+            if low.isalpha():
+                return piece(low)
+            if low[-1] in STOPS and low[:-1].isalpha():
+                return memory[low[:-1]] + memory[low[-1]]
+            parts = split.findall(low)
+            return b"".join(map(memory.__getitem__, parts)) if len(parts) > 1 else piece(low)
 
-        memory = Memory(chunk, 350_000)
+        memory = Memory(chunk, 500_000)
 
         def encode(text: str) -> bytes:
-            return b"".join(map(memory.__getitem__, text.split())) if printable(text.translate(_FEEDS)) else whole(text)
+            return b"".join(map(memory.__getitem__, text.lower().split())) if printable(without_feeds(text)) else whole(text)
 
     else:
 
