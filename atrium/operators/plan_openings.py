@@ -25,24 +25,26 @@ def _across(x: Column, y: Column) -> Column:
 def candidates(walls: DataFrame, narrowest: float = NARROWEST, widest: float = WIDEST, shortest: float = SHORTEST) -> DataFrame:
     """plan_id, i, j (i < j), x, y, width, degrees, thickness, support (sx, sy, ex, ey): every free gap between two walls on one line.
 
-    ``walls``: plan_id, wall_id, ax, ay, bx, by, thickness in metres, in any direction.  Walls meet where their ends lie within an opening's
-    width, so pairs come from cells of that size and not from whole lines or plans.
+    ``walls``: plan_id, wall_id, ax, ay, bx, by, thickness in metres, in any direction.  A wall meets the ends that lie ahead of one of its own,
+    on its line and within an opening's width, so pairs come from cells of that size and not from whole lines or plans, and what is on no
+    common line goes where it is met.
     """
     ends = walls.select("plan_id", F.col("wall_id").alias("k"), F.explode(F.array(geom.point(F.col("ax"), F.col("ay")), geom.point(F.col("bx"), F.col("by")))).alias("p")).select("plan_id", "k", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     long = walls.withColumn("long", geom.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).filter(F.col("long") >= shortest)
-    tip = ends.join(long.select("plan_id", F.col("wall_id").alias("k")), ["plan_id", "k"], "left_semi")
     size = widest + 2 * ACROSS
-    point = F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    reach = with_cells(tip.withColumnRenamed("k", "i"), point, size, size).select("plan_id", "cx", "cy", "i")
-    pair = reach.join(at_cell(tip.withColumnRenamed("k", "j"), size).select("plan_id", "cx", "cy", "j"), ["plan_id", "cx", "cy"]).filter("i < j").select("plan_id", "i", "j").distinct()
     a = long.select("plan_id", F.col("wall_id").alias("i"), "ax", "ay", "bx", "by", F.col("thickness").alias("thick_i"), "long", ((F.col("bx") - F.col("ax")) / F.col("long")).alias("ux"), ((F.col("by") - F.col("ay")) / F.col("long")).alias("uy"))
-    b = long.select("plan_id", F.col("wall_id").alias("j"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"), F.col("thickness").alias("thick_j"))
-    pair = pair.join(a, ["plan_id", "i"]).join(b, ["plan_id", "j"]).filter(F.abs(F.col("thick_i") - F.col("thick_j")) <= THICKNESS)
-    pair = pair.filter(F.greatest(F.abs(_across(F.col("cx"), F.col("cy"))), F.abs(_across(F.col("dx"), F.col("dy")))) <= ACROSS)
-    low, high = F.least(_along(F.col("cx"), F.col("cy")), _along(F.col("dx"), F.col("dy"))), F.greatest(_along(F.col("cx"), F.col("cy")), _along(F.col("dx"), F.col("dy")))
+    ahead = lambda x, y, way: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), (F.col(x) + F.col("ux") * way * widest).alias("fx"), (F.col(y) + F.col("uy") * way * widest).alias("fy"))
+    a = a.withColumn("p", F.explode(F.array(ahead("bx", "by", 1), ahead("ax", "ay", -1))))
+    strip = F.struct(F.least("p.x", "p.fx").alias("x0"), F.least("p.y", "p.fy").alias("y0"), F.greatest("p.x", "p.fx").alias("x1"), F.greatest("p.y", "p.fy").alias("y1"))
+    a = with_cells(a, strip, 2 * ACROSS, size).drop("p")
+    b = long.select("plan_id", F.col("wall_id").alias("j"), F.col("ax").alias("px"), F.col("ay").alias("py"), F.col("bx").alias("qx"), F.col("by").alias("qy"), F.col("thickness").alias("thick_j"))
+    b = b.withColumn("p", F.explode(F.array(geom.point(F.col("px"), F.col("py")), geom.point(F.col("qx"), F.col("qy"))))).withColumn("x", F.col("p.x")).withColumn("y", F.col("p.y"))
+    pair = a.join(at_cell(b, size).drop("p", "x", "y"), ["plan_id", "cx", "cy"]).filter((F.col("i") < F.col("j")) & (F.abs(F.col("thick_i") - F.col("thick_j")) <= THICKNESS))
+    pair = pair.filter(F.greatest(F.abs(_across(F.col("px"), F.col("py"))), F.abs(_across(F.col("qx"), F.col("qy")))) <= ACROSS)
+    low, high = F.least(_along(F.col("px"), F.col("py")), _along(F.col("qx"), F.col("qy"))), F.greatest(_along(F.col("px"), F.col("py")), _along(F.col("qx"), F.col("qy")))
     # the gap behind the first wall, or the one before it
     pair = pair.withColumn("from", F.when(low > F.col("long"), F.col("long")).when(high < 0, high)).withColumn("to", F.when(low > F.col("long"), low).when(high < 0, 0.0))
-    pair = pair.withColumn("width", F.col("to") - F.col("from")).filter(F.col("width").between(narrowest, widest))
+    pair = pair.withColumn("width", F.col("to") - F.col("from")).filter(F.col("width").between(narrowest, widest)).dropDuplicates(["plan_id", "i", "j"])
     on = lambda t: (F.col("ax") + F.col("ux") * F.col(t), F.col("ay") + F.col("uy") * F.col(t))
     (sx, sy), (ex, ey) = on("from"), on("to")
     pair = pair.select("plan_id", "i", "j", "ax", "ay", "ux", "uy", "from", "to", "width", F.struct(sx.alias("sx"), sy.alias("sy"), ex.alias("ex"), ey.alias("ey")).alias("support"), ((F.col("thick_i") + F.col("thick_j")) / 2).alias("thickness"))
