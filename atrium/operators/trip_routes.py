@@ -7,7 +7,8 @@ search of their own from each distinct start.  Trips then join three small table
 All ways are exact: every fastest path is a chain of such parts.
 
 Where nodes have coordinates, blocks of a bounded number of nodes (``routing.blocks``) are the planes, so a way within one is found in a single
-pass over its block, and a search of a trip's own sees one block only, and of that no more than lies nearer than its ends.
+pass over its block, and a search of a trip's own sees one block only, and of that no more than lies nearer than its ends.  They are smaller than
+those of other searches: of many trips few stay in one, and each of these costs a search.
 """
 
 from __future__ import annotations
@@ -15,10 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atrium.operators import routing
 from atrium.operators.graph import WALKING_SPEED
-from atrium.operators.routing import blocks, searches, searches_by_block, why_none, written
+from atrium.operators.routing import searches, searches_by_block, why_none, written
 
 COST = ("weight", "metres", "seconds")
+#: About how many nodes a block of trips has at most.
+BLOCK = 4096
+
+
+def blocks(places: DataFrame) -> DataFrame:
+    return routing.blocks(places, BLOCK)
 
 
 def _cost(*parts: str) -> Column:
@@ -61,15 +69,21 @@ class PlaneWays:
         hops = hops.unionByName(across.select("src", "dst", "edge_id", *COST))
         #: between any two gates, over all planes
         self.gates = written(_ways(starts, hops))
+        of = lambda end: self.nodes.select(F.col("node_id").alias(end), F.col("plane_id").alias(f"{end}_plane"))
+        #: between two gates of one plane
+        self.beside = written(self.gates.filter("a <> b").join(of("a"), "a").join(of("b"), "b").filter("a_plane = b_plane").select("a", "b", "way"))
 
     def _needed(self, costs: DataFrame, end: str, gate: str) -> DataFrame:
-        """``costs`` (end, gate, cost) without gates that are passed by another gate of the end at no more cost; what such a gate gives the other one gives too."""
+        """``costs`` (end, gate, cost) without gates that are passed by another gate of the end and of their plane at no more cost; what such a gate gives the other one gives too.
+
+        The gates of one end meet each other first, so what is joined grows with them and not with all gates.
+        """
         there, here = ("a", "b") if end == "from_id" else ("b", "a")
-        via = self.gates.filter("a <> b").select(F.col(there).alias("via"), F.col(here).alias(gate), "way")
+        via = self.beside.select(F.col(there).alias("via"), F.col(here).alias(gate), "way")
         other = costs.select(end, F.col(gate).alias("via"), F.col("cost").alias("first"))
         sums = [F.col(f"first.{c}") + F.col(f"way.{c}") <= F.col(f"cost.{c}") for c in COST[:2]]
         first = (F.col("way.weight") > 0) | (F.col("via") < F.col(gate))
-        passed = costs.join(via, gate).join(other, [end, "via"]).filter(sums[0] & sums[1] & first).select(end, gate)
+        passed = costs.join(other, end).join(via, ["via", gate]).filter(sums[0] & sums[1] & first).select(end, gate)
         return costs.join(passed, [end, gate], "left_anti")
 
     def trips(self, trips: DataFrame, starts: DataFrame, goals: DataFrame, speed: float = WALKING_SPEED) -> DataFrame:
@@ -83,7 +97,11 @@ class PlaneWays:
         leave = written(least(s.join(self.into.withColumnRenamed("a", "node_id"), "node_id").select(F.col("end_id").alias("from_id"), F.col("b").alias("p"), _cost("walk", "way").alias("cost")), "from_id", "p"))
         arrive = written(least(self.out.withColumnRenamed("b", "node_id").join(g, "node_id").select(F.col("end_id").alias("to_id"), F.col("a").alias("q"), _cost("way", "walk").alias("cost")), "to_id", "q"))
         leave, arrive = written(self._needed(leave, "from_id", "p")), written(self._needed(arrive, "to_id", "q"))
-        far = trips.join(leave.withColumnRenamed("cost", "first"), "from_id").join(arrive.withColumnRenamed("cost", "last"), "to_id")
+        # the few gates of an end travel as one row, so that a trip is one row up to the least of its ways
+        listed = lambda df, end, gate, name: df.groupBy(end).agg(F.collect_list(F.struct(gate, "cost")).alias(name))
+        far = trips.select("query_id", "from_id", "to_id").join(listed(leave, "from_id", "p", "firsts"), "from_id").join(listed(arrive, "to_id", "q", "lasts"), "to_id")
+        far = far.select("query_id", F.explode("firsts").alias("f"), "lasts").select("query_id", F.col("f.p").alias("p"), F.col("f.cost").alias("first"), F.explode("lasts").alias("l"))
+        far = far.select("query_id", "p", F.col("l.q").alias("q"), "first", F.col("l.cost").alias("last"))
         far = far.join(self.gates.select(F.col("a").alias("p"), F.col("b").alias("q"), "way"), ["p", "q"]).select("query_id", _cost("first", "way", "last").alias("cost"))
         # trips that can stay on one plane: one search from each distinct start
         planes = lambda df, end: df.select(F.col("end_id").alias(end), "plane_id").distinct()
